@@ -1,6 +1,6 @@
 """Removal of passages that earlier documents hold, by a run-length Burrows-Wheeler index (operator 6).
 
-Every 50-byte window has an anchor: the 16-byte string of least hash inside it, so equal windows have equal anchors.
+Every 50-byte window has an anchor: the 12-byte string of least hash inside it, so equal windows have equal anchors.
 Neighbouring windows with one anchor make a piece. Pieces are dealt out by their anchor, so all copies of a window meet
 in one task; there an index over the distinct pieces streams, for each position, whether an earlier document has it.
 """
@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from lakeweave.llm.columns import shuffle_width, slices, utf8
 
 #: Bytes of a window and of an anchor; windows that can share an anchor; a piece's bytes at most, in whole 8-byte words.
-WINDOW, ANCHOR = 50, 16
+WINDOW, ANCHOR = 50, 12
 SPREAD = WINDOW - ANCHOR + 1
 LONGEST = WINDOW + SPREAD - 1
 WIDTH = -(-LONGEST // 8) * 8
-#: Of a window's other 34 bytes, 17 or more are on one side of the anchor.
+#: Of a window's other 38 bytes, 19 or more are on one side of the anchor.
 SIDE = (WINDOW - ANCHOR) // 2
 #: Bytes of text cut into pieces at once.
 PART = 4 << 20
@@ -50,7 +50,7 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     word = np.ndarray((n,), "<u8", padded.data, strides=(1,))
-    h = _mix(word[: n - ANCHOR + 1] * MIX[0] + _mix(word[8 : 8 + n - ANCHOR + 1] * MIX[1]))
+    h = _mix(word[: n - ANCHOR + 1] * MIX[0] + _mix(word[ANCHOR - 8 : n - 7] * MIX[1]))
     low = np.uint64((1 << 24) - 1)
     least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     span = 1
@@ -69,15 +69,18 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.compress(b"".join(a.tobytes() for a in arrays), 1)
+    return zstandard.compress(b"".join(a.tobytes() for a in arrays), 3)
 
 
 def _unpack(blob: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
+    """The arrays of _pack; what the first ones leave are the pieces' bytes, one after another, given back in rows."""
     data, out, at = zstandard.decompress(blob), [], 0
     for kind in kinds:
         out.append(np.frombuffer(data, kind, n, at))
         at += out[-1].nbytes
-    return out
+    rows = np.zeros((n, WIDTH), np.uint8)
+    rows[np.arange(WIDTH) < out[0][:, None]] = np.frombuffer(data, np.uint8, -1, at)
+    return [rows, *out]
 
 
 def _index(rows: np.ndarray, lengths: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -160,7 +163,7 @@ def _shared(keys: np.ndarray, there: np.ndarray, who: np.ndarray) -> np.ndarray:
 
 
 def _side_keys(rows: np.ndarray, lengths: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Hashes of the anchor with 17 bytes before it and with 17 after it, and which pieces have them."""
+    """Hashes of the anchor with 19 bytes before it and with 19 after it, and which pieces have them."""
     out = []
     wide = np.concatenate([rows, np.zeros((len(rows), 64), np.uint8)], axis=1)
     flat = np.lib.stride_tricks.as_strided(wide, (wide.size - 39, 40), (1, 1))
@@ -185,7 +188,7 @@ def _marked(rows: np.ndarray, lengths: np.ndarray, place: np.ndarray, doc: np.nd
     distinct[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
     least = np.minimum.reduceat(doc[order], starts)
     one = order[starts]
-    # Only distinct pieces that share 33 bytes with another one need the index; for the rest their own copies tell all.
+    # Only distinct pieces that share 31 bytes with another one need the index; for the rest their own copies tell all.
     near = np.any([_shared(k, there, np.arange(len(one))) for k, there in _side_keys(rows[one], lengths[one], place[one])], axis=0)
     low = np.repeat(least[:, None], SPREAD, axis=1)
     if near.any():
@@ -222,12 +225,11 @@ def _dealt(docs: DataFrame, width: int) -> DataFrame:
                     at = order[cuts[t] : cuts[t + 1]]
                     length = count[at] + WINDOW - 1
                     rows = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[start[at]]
-                    rows[np.arange(WIDTH) >= length[:, None]] = 0
                     d = doc[at]
                     new = np.concatenate([[True], d[1:] != d[:-1]])
                     local = start[at] - offsets[d]
                     step = np.where(new, local, np.diff(local, prepend=0))
-                    blob = _pack(rows, length.astype("u1"), (place[at] - start[at]).astype("u1"), step.astype("<i4"), new.astype("u1"), np.where(new, ids[d], 0).astype("<i8"), np.where(new, hashes[d], 0).astype("<i8"))
+                    blob = _pack(length.astype("u1"), (place[at] - start[at]).astype("u1"), step.astype("<i4"), new.astype("u1"), np.where(new, ids[d], 0).astype("<i8"), np.where(new, hashes[d], 0).astype("<i4"), rows[np.arange(WIDTH) < length[:, None]])
                     out[0].append(t), out[1].append(len(at)), out[2].append(blob)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["target", "n", "pieces"])
 
@@ -241,7 +243,7 @@ def _matched(dealt: DataFrame, width: int) -> DataFrame:
         parts = []
         for batch in batches:
             for n, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                rows, length, place, step, new, ids, hashes = _unpack(blob, n, [f"({WIDTH},)u1", "u1", "u1", "<i4", "u1", "<i8", "<i8"])
+                rows, length, place, step, new, ids, hashes = _unpack(blob, n, ["u1", "u1", "<i4", "u1", "<i8", "<i4"])
                 group = np.cumsum(new) - 1
                 first = np.flatnonzero(new)
                 walked = np.cumsum(step.astype(np.int64))
@@ -265,13 +267,13 @@ def _matched(dealt: DataFrame, width: int) -> DataFrame:
         owner = np.flatnonzero(row)
         ends = np.searchsorted(first, np.append(owner, len(begin))).astype(np.int32)
         spans = pa.StructArray.from_arrays([pa.array(begin[first]), pa.array(begin[last] + WINDOW)], ["first", "end"])
-        yield pa.RecordBatch.from_arrays([pa.array(i[owner]), pa.array(h[owner]), pa.ListArray.from_arrays(pa.array(ends), spans)], ["id", "th", "spans"])
+        yield pa.RecordBatch.from_arrays([pa.array(i[owner]), pa.array(h[owner].astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), spans)], ["id", "th", "spans"])
 
-    return dealt.repartitionById(width, F.col("target")).mapInArrow(run, "id long, th long, spans array<struct<first: long, end: long>>")
+    return dealt.repartitionById(width, F.col("target")).mapInArrow(run, "id long, th int, spans array<struct<first: long, end: long>>")
 
 
 def _text_hash(text: str):
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    return F.hash(F.coalesce(F.col(text), F.lit("")))
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
