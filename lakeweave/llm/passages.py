@@ -27,6 +27,8 @@ WIDTH = -(-LONGEST // 8) * 8
 SIDE = (WINDOW - ANCHOR) // 2
 #: Bytes of text cut into pieces at once.
 PART = 4 << 20
+#: Pieces whose anchors, windows and index are worked on at once in a task.
+GROUP = 50_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -68,19 +70,26 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return doc[first], start[first], count, own[first], h[own[first]]
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=0).astype("<i8")
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     return zstandard.compress(b"".join(a.tobytes() for a in arrays), 3)
 
 
-def _unpack(blob: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
-    """The arrays of _pack; what the first ones leave are the pieces' bytes, one after another, given back in rows."""
-    data, out, at = zstandard.decompress(blob), [], 0
-    for kind in kinds:
-        out.append(np.frombuffer(data, kind, n, at))
-        at += out[-1].nbytes
+def _unpack(blob: bytes, n: int) -> tuple[np.ndarray, ...]:
+    """(rows, lengths, places, starts, documents, their text hashes) of a packed part."""
+    data = zstandard.decompress(blob)
+    length, place, step, new = (np.frombuffer(data, k, n, at * n) for k, at in (("u1", 0), ("u1", 1), ("<i4", 2), ("u1", 6)))
+    first, at = np.flatnonzero(new), 7 * n
+    ids, at = np.cumsum(np.frombuffer(data, "<i8", len(first), at)), at + 8 * len(first)
+    hashes, at = np.frombuffer(data, "<u2", len(first), at), at + 2 * len(first)
     rows = np.zeros((n, WIDTH), np.uint8)
-    rows[np.arange(WIDTH) < out[0][:, None]] = np.frombuffer(data, np.uint8, -1, at)
-    return [rows, *out]
+    rows[np.arange(WIDTH) < length[:, None]] = np.frombuffer(data, np.uint8, -1, at)
+    group, walked = np.cumsum(new) - 1, np.cumsum(step.astype(np.int64))
+    start = walked - (walked[first] - step[first])[group]
+    return rows, length, place, start, ids[group], hashes[group]
 
 
 def _index(rows: np.ndarray, lengths: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -229,64 +238,128 @@ def _dealt(docs: DataFrame, width: int) -> DataFrame:
                     new = np.concatenate([[True], d[1:] != d[:-1]])
                     local = start[at] - offsets[d]
                     step = np.where(new, local, np.diff(local, prepend=0))
-                    blob = _pack(length.astype("u1"), (place[at] - start[at]).astype("u1"), step.astype("<i4"), new.astype("u1"), np.where(new, ids[d], 0).astype("<i8"), np.where(new, hashes[d], 0).astype("<i4"), rows[np.arange(WIDTH) < length[:, None]])
+                    blob = _pack(length.astype("u1"), (place[at] - start[at]).astype("u1"), step.astype("<i4"), new.astype("u1"), _steps(ids[d[new]]), hashes[d[new]].astype("<u2"), rows[np.arange(WIDTH) < length[:, None]])
                     out[0].append(t), out[1].append(len(at)), out[2].append(blob)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["target", "n", "pieces"])
 
     return docs.mapInArrow(run, "target int, n int, pieces binary")
 
 
+def _anchor_hash(rows: np.ndarray, place: np.ndarray) -> np.ndarray:
+    flat = np.lib.stride_tricks.as_strided(rows, (rows.size - ANCHOR + 1, ANCHOR), (1, 1))
+    got = np.zeros((len(rows), 16), np.uint8)
+    got[:, :ANCHOR] = flat[np.arange(len(rows)) * WIDTH + place]
+    return _hash_rows(got)
+
+
 def _matched(dealt: DataFrame, width: int) -> DataFrame:
-    """(id, th, spans): spans of each document that earlier ones have, as far as one task's anchors show them."""
+    """(bucket, spans): per task and bucket of documents, the spans that earlier documents have, as far as its anchors show."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for batch in batches:
-            for n, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                rows, length, place, step, new, ids, hashes = _unpack(blob, n, ["u1", "u1", "<i4", "u1", "<i8", "<i4"])
-                group = np.cumsum(new) - 1
-                first = np.flatnonzero(new)
-                walked = np.cumsum(step.astype(np.int64))
-                start = walked - (walked[first] - step[first])[group]
-                parts.append((rows, length.astype(np.int64), place.astype(np.int64), start, ids[first][group], hashes[first][group]))
-        if not parts:
+        held = [(n, blob) for batch in batches for n, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        total = sum(n for n, _ in held)
+        if not total:
             return
-        rows, length, place, start, ids, hashes = (np.concatenate([p[i] for p in parts]) for i in range(6))
-        parts.clear()
-        at, hit = _marked(rows, length, place, ids)
-        if not len(at):
+        rows = np.zeros((total, WIDTH), np.uint8)
+        length, place, hashes = np.zeros(total, np.uint8), np.zeros(total, np.uint8), np.zeros(total, np.uint16)
+        start, ids = np.zeros(total, np.int64), np.zeros(total, np.int64)
+        at = 0
+        while held:
+            n, blob = held.pop()
+            for into, got in zip((rows, length, place, start, ids, hashes), _unpack(blob, n)):
+                into[at : at + n] = got
+            at += n
+        groups = -(-total // GROUP)
+        own = (_anchor_hash(rows, place) >> np.uint64(20)) % np.uint64(groups)  # equal anchors stay together
+        found: list[list[np.ndarray]] = [[], [], []]
+        for g in range(groups):
+            part = np.flatnonzero(own == g)
+            hit_rows, hit = _marked(rows[part], length[part].astype(np.int64), place[part].astype(np.int64), ids[part])
+            piece, window = np.nonzero(hit)
+            piece = part[hit_rows[piece]]
+            for x, y in zip(found, (ids[piece], hashes[piece], start[piece] + window)):
+                x.append(y)
+        i, h, begin = (np.concatenate(x) for x in found)
+        if not len(i):
             return
-        piece, window = np.nonzero(hit)
-        piece, begin = at[piece], start[at[piece]] + window
-        order = np.lexsort((begin, hashes[piece], ids[piece]))
-        i, h, begin = ids[piece][order], hashes[piece][order], begin[order]
+        bucket = _bucket(i, width)
+        order = np.lexsort((begin, h, i, bucket))
+        bucket, i, h, begin = bucket[order], i[order], h[order], begin[order]
         row = np.concatenate([[True], (i[1:] != i[:-1]) | (h[1:] != h[:-1])])
-        span = row | np.concatenate([[True], begin[1:] > begin[:-1] + WINDOW])
-        first = np.flatnonzero(span)
+        first = np.flatnonzero(row | np.concatenate([[True], begin[1:] > begin[:-1] + WINDOW]))
         last = np.append(first[1:], len(begin)) - 1
-        owner = np.flatnonzero(row)
-        ends = np.searchsorted(first, np.append(owner, len(begin))).astype(np.int32)
-        spans = pa.StructArray.from_arrays([pa.array(begin[first]), pa.array(begin[last] + WINDOW)], ["first", "end"])
-        yield pa.RecordBatch.from_arrays([pa.array(i[owner]), pa.array(h[owner].astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), spans)], ["id", "th", "spans"])
+        spans = np.stack([i[first], h[first].astype(np.int64), begin[first], begin[last] + WINDOW], axis=1)
+        cuts = np.searchsorted(bucket[first], np.arange(width + 1))
+        some = np.flatnonzero(np.diff(cuts))
+        blobs = [_pack(np.ascontiguousarray(spans[cuts[b] : cuts[b + 1]].T).astype("<i8")) for b in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.ones(len(some), np.int32)), pa.array(blobs, pa.binary())], ["bucket", "kind", "data"])
+
+    return dealt.repartitionById(width, F.col("target")).mapInArrow(run, "bucket int, kind int, data binary")
 
-    return dealt.repartitionById(width, F.col("target")).mapInArrow(run, "id long, th int, spans array<struct<first: long, end: long>>")
+
+def _bucket(ids: np.ndarray, width: int) -> np.ndarray:
+    return (_mix(ids.astype(np.int64).view(np.uint64) * MIX[0]) % np.uint64(width)).astype(np.int64)
 
 
 def _text_hash(text: str):
-    return F.hash(F.coalesce(F.col(text), F.lit("")))
+    """Tells rows of one key with different texts apart (16 bits)."""
+    return F.hash(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(65535)
+
+
+def _rows_by_bucket(docs: DataFrame, width: int) -> DataFrame:
+    """(bucket, 0, data): docs' rows, whose first two columns are key and text hash, dealt by key and compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket = _bucket(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), width)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(width + 1))
+            some = np.flatnonzero(np.diff(cuts))
+            blobs = []
+            for b in some:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as out:
+                    out.write_batch(batch.take(pa.array(order[cuts[b] : cuts[b + 1]])))
+                blobs.append(zstandard.compress(sink.getvalue(), 3))
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.zeros(len(some), np.int32)), pa.array(blobs, pa.binary())], ["bucket", "kind", "data"])
+
+    return docs.mapInArrow(run, "bucket int, kind int, data binary")
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, th, spans): for each document with any, unmerged byte spans that documents of lesser key hold too."""
+def _with_spans(docs: DataFrame, key: str, text: str, make, schema) -> DataFrame:
+    """Rows of docs (all columns) meet their merged spans; make(batch, spans) gives the rows of `schema`.
+
+    Texts are dealt once, by key, in compressed parts; each task keeps its parts compressed until the spans are in.
+    """
     width = shuffle_width(docs.sparkSession)
     bare = docs.select(F.col(key).cast("long").alias("id"), _text_hash(text).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("id IS NOT NULL AND octet_length(text) >= 50")
-    found = _matched(_dealt(bare, width), width)
-    return found.groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = _matched(_dealt(bare, width), width)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    whole = docs.select(F.col(key).cast("long").alias("__id"), _text_hash(text).alias("__th"), *[docs[c].alias(n) for c, n in zip(docs.columns, names)])
+    both = _rows_by_bucket(whole, width).unionByName(spans)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs, found = [], {}
+        for batch in batches:
+            for kind, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if kind:
+                    for i, h, a, b in np.frombuffer(zstandard.decompress(data), "<i8").reshape(4, -1).T.tolist():
+                        found.setdefault((i, h), []).append((a, b))
+                else:
+                    blobs.append(data)
+        while blobs:
+            for batch in pa.ipc.open_stream(zstandard.decompress(blobs.pop())):
+                own = [_merged(found.get(k, ())) for k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+                yield make(pa.RecordBatch.from_arrays(batch.columns[2:], names=names), own)
+
+    return both.repartitionById(width, F.col("bucket")).mapInArrow(run, schema)
 
 
 def _merged(spans) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for a, b in sorted((s["first"], s["end"]) for s in spans or ()):
+    for a, b in sorted(spans):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -302,11 +375,6 @@ def _rest(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, data[at:]])
 
 
-def _joined(docs: DataFrame, key: str, text: str) -> DataFrame:
-    found = repeated_spans(docs, key, text).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
-    return docs.join(found, (docs[key].cast("long") == found["__id"]) & (_text_hash(text) == found["__th"]), "left").drop("__id", "__th")
-
-
 def strip(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: key, n_bytes, n_removed, n_spans, kept_sha256 and spans (first, end in bytes).
 
@@ -315,21 +383,17 @@ def strip(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     cause anything. Repeated rows lose the same; rows of one key with other texts are judged apart, and not against
     each other. Other columns are not read.
     """
-    kind = docs.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            out = []
-            for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data, spans = (t or "").encode(), _merged(spans)
-                out.append((len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(_rest(data, spans)).hexdigest(), [{"first": a, "end": b} for a, b in spans]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(zip(*out), kinds)]], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+    def make(batch: pa.RecordBatch, own: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+        out = []
+        for t, spans in zip(batch.column(1).to_pylist(), own):
+            data = (t or "").encode()
+            out.append((len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(_rest(data, spans)).hexdigest(), [{"first": a, "end": b} for a, b in spans]))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))]
+        return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(zip(*out), kinds)]], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    bare = _joined(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), "id", "text")
-    return bare.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first: long, end: long>>").withColumnRenamed("id", key)
+    schema = f"id {docs.schema[key].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first: long, end: long>>"
+    return _with_spans(docs.select(key, text), key, text, make, schema).withColumnRenamed("id", key)
 
 
 def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -337,12 +401,12 @@ def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     Null texts stay null; a text that repeats earlier ones from end to end becomes empty and its row stays.
     """
+    at = docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, spans = batch.schema.get_field_index(text), batch.column(batch.num_columns - 1).to_pylist()
-            texts = [t if not s else _rest(t.encode(), _merged(s)).decode("utf-8", "ignore") for t, s in zip(batch.column(at).to_pylist(), spans)]
-            columns = [pa.array(texts, batch.schema.types[i]) if i == at else c for i, c in enumerate(batch.columns[:-1])]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+    def make(batch: pa.RecordBatch, own: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+        texts = [t if not s else _rest(t.encode(), s).decode("utf-8", "ignore") for t, s in zip(batch.column(at).to_pylist(), own)]
+        columns = [pa.array(texts, batch.schema.types[at]) if i == at else c for i, c in enumerate(batch.columns)]
+        return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return _joined(docs, key, text).mapInArrow(run, docs.schema)
+    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
+    return _with_spans(docs, key, text, make, schema).toDF(*docs.columns)
