@@ -43,9 +43,12 @@ def words(text: Column, lower: bool = False) -> Column:
 
 
 def shingle_hashes(words_col: str, size: int) -> Column:
-    """XXH64 (seed 42) of every run of `size` words joined by one space; fewer words make one shingle, none make none."""
-    starts = f"sequence(0, greatest(size({words_col}) - {size}, 0))"
-    return F.expr(f"IF(size({words_col}) = 0, CAST(array() AS ARRAY<BIGINT>), transform({starts}, i -> xxhash64(array_join(slice({words_col}, i + 1, {size}), ' '))))")
+    """XXH64 (seed 42) of every run of `size` words joined by one space; fewer words make one shingle, none make none.
+
+    Words are fetched one by one, which takes as long for a word of a long text as of a short one (a slice does not).
+    """
+    run = ", ".join(f"get({words_col}, i + {j})" for j in range(size))
+    return F.expr(f"IF(size({words_col}) = 0, CAST(array() AS ARRAY<BIGINT>), transform(sequence(0, greatest(size({words_col}) - {size}, 0)), i -> xxhash64(concat_ws(' ', {run}))))")
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:

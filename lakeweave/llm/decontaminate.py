@@ -28,7 +28,7 @@ def windows(items: DataFrame, key: str, text: str, width: int = WINDOW) -> tuple
     A window is `width` consecutive words of an item; an item of fewer words, but not none, is one window.
     """
     w = items.select(F.col(key).alias("item"), bench_words(F.col(text)).alias("w")).where("size(w) > 0")
-    each = w.select("item", F.explode(F.expr(f"transform(sequence(0, greatest(size(w) - {width}, 0)), i -> slice(w, i + 1, {width}))")).alias("words")).distinct()
+    each = w.select("item", F.explode(F.expr(f"transform(sequence(0, greatest(size(w) - {width}, 0)), i -> transform(sequence(i, least(i + {width}, size(w)) - 1), j -> get(w, j)))")).alias("words")).distinct()
     each = each.select(F.sha2(F.array_join("words", " "), 256).alias("wid"), "words", "item")
     return each.select("wid", "words").distinct(), each.select("wid", "item")
 
@@ -54,11 +54,12 @@ def occurrences(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", text
     arrays = [shingle_hashes("w", SHINGLE)]
     for s in sizes:
         if s < SHINGLE:  # only an item of fewer words than a shingle needs shorter ones
-            arrays.append(F.expr(f"IF(size(w) < {s + 1}, CAST(array() AS ARRAY<BIGINT>), transform(sequence(0, size(w) - {s}), i -> xxhash64(array_join(slice(w, i + 1, {s}), ' '))))"))
+            arrays.append(F.when(F.size("w") > s, shingle_hashes("w", s)).otherwise(F.expr("CAST(array() AS ARRAY<BIGINT>)")))
     hashed = tokenised.select("id", "th", F.size("w").alias("n_words"), *[a.alias(f"h{i}") for i, a in enumerate(arrays)])
+    # Outer explodes, as a plain one gets a filter on its array that is computed from the text again for every word.
     spread = None
     for i in range(len(arrays)):
-        one = hashed.select("id", "th", "n_words", F.lit(i == 0).alias("main"), (F.posexplode_outer if i == 0 else F.posexplode)(f"h{i}").alias("pos", "h"))
+        one = hashed.select("id", "th", "n_words", F.lit(i == 0).alias("main"), F.posexplode_outer(f"h{i}").alias("pos", "h"))
         spread = one if spread is None else spread.unionByName(one)
     met = spread.join(_small(tokens, tokens.count()), "h", "left").where("known OR (main AND coalesce(pos, 0) = 0)")
     met = cut(met.select("id", "th", "n_words", "main", "pos", "h", "known"))
@@ -75,7 +76,7 @@ def occurrences(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", text
     sought = listed.select("id", "th")
     texts = tokenised.join(_small(sought, sought.count()), (tokenised["id"].eqNullSafe(sought["id"])) & (tokenised["th"] == sought["th"]), "left_semi").dropDuplicates(["id", "th"])
     checked = texts.alias("t").join(listed.alias("l"), F.col("t.id").eqNullSafe(F.col("l.id")) & (F.col("t.th") == F.col("l.th")))
-    checked = checked.select("t.id", "t.th", F.filter("starts", lambda s: F.slice(F.col("w"), s["start"] + 1, F.size(s["words"])) == s["words"]).alias("hits")).where("size(hits) > 0")
+    checked = checked.select("t.id", "t.th", F.expr("filter(starts, s -> forall(sequence(0, size(s.words) - 1), j -> get(w, s.start + j) = s.words[j]))").alias("hits")).where("size(hits) > 0")
     checked = cut(checked.select("id", "th", F.expr("transform(hits, s -> named_struct('start', s.start, 'len', size(s.words)))").alias("spans"), F.expr("array_distinct(transform(hits, s -> s.wid))").alias("wids")))
 
     held = checked.select("id", "th", F.explode("wids").alias("wid")).join(_small(owners, owners.count()), "wid")
