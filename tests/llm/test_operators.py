@@ -9,6 +9,8 @@ import public_tokenizers
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from lakeweave.llm import decontaminate, html, packing, passages, quality, rules, sharding, simhash, toxicity, urls
 from lakeweave.llm.labelled import held_out
 
@@ -251,7 +253,7 @@ def test_classifiers(spark, odd, none):
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     tox, good = toxicity.train(docs, labels), quality.train(docs, labels)
     for module, model, label, least in ((toxicity, tox, "toxic", 0.75), (quality, good, "quality", 0.95)):
-        got = module.score(docs, model).join(labels, "doc_id").where(held_out(docs["doc_id"])).select("score", label).toPandas()
+        got = module.score(docs, model).join(labels, "doc_id").where(held_out(F.col("doc_id"))).select("score", label).toPandas()
         assert auc(got[label].to_numpy(), got.score.to_numpy()) > least
         scores = module.score(odd, model).collect()
         assert len(scores) == len(ODD) and all(0 <= r.score <= 1 for r in scores)
