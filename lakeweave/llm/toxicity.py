@@ -115,7 +115,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30
     return w
 
 
-def fit(texts: list[str], labels: np.ndarray) -> Model:
+def fit(texts: list[str] | pa.Array, labels: np.ndarray) -> Model:
     """Labels tokens, fits the field to them, and the documents' scores to the documents' labels.
 
     A token of a toxic document is labelled toxic if its word or its first letters lean to toxic documents far beyond
@@ -126,7 +126,7 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     flat = Model(pa.array([], pa.string()), np.zeros(0), -6.0, np.array([[1.0, 0.1], [0.9, 0.1]]), np.array([np.log(share / (1 - share)), 0.0, 0.0]))
     if not len(y) or y.min() == y.max():
         return flat
-    values, codes, lines, docs = chains(pa.array(texts, pa.string()))
+    values, codes, lines, docs = chains(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
     named = [f.cast(pa.string()) for f in features(values)]
     names = pa.chunked_array(named).combine_chunks().dictionary_encode()
     none = len(names.dictionary)
@@ -134,9 +134,12 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     doc = np.repeat(np.arange(len(y)), np.diff(docs))
     met = np.unique(doc * (len(values) + 1) + codes)
     met_doc, met_word = met // (len(values) + 1), met % (len(values) + 1)
-    pairs = np.unique((met_doc[:, None] * (none + 1) + own[met_word]).ravel())
-    d, w = pairs // (none + 1), pairs % (none + 1)
-    n, toxic = np.bincount(w, minlength=none + 1), np.bincount(w, y[d], minlength=none + 1)
+    n, toxic = np.zeros(none + 1, np.int64), np.zeros(none + 1)
+    for kind in own.T:  # words and first letters of each length are different features, so each kind is counted alone
+        pairs = np.unique(met_doc * (none + 1) + kind[met_word])
+        n += np.bincount(pairs % (none + 1), minlength=none + 1)
+        toxic += np.bincount(pairs % (none + 1), y[pairs // (none + 1)], minlength=none + 1)
+    del met, met_doc, met_word, pairs
     z = (toxic - n * share) / np.sqrt(np.maximum(n, 1) * share * (1 - share))
     lean = (z >= LEANING) & (toxic > n / 2)
     lean[none] = False
@@ -156,7 +159,7 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     at = np.repeat(lines[pick] - offsets[:-1], n_line) + np.arange(offsets[-1])
     index = np.full(none + 1, len(known))
     index[known] = np.arange(len(known))
-    x, truth = index[own[codes[at]]], (marks[codes[at]] & (y[doc[at]] == 1)).astype(float)
+    x, truth = [index[kind].astype(np.int32)[codes[at]] for kind in own.T], (marks[codes[at]] & (y[doc[at]] == 1)).astype(float)
     first = np.zeros(len(at), bool)
     first[offsets[:-1]] = True
     seen = np.zeros((2, 2))  # steps between labelled neighbours
@@ -168,11 +171,11 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     for step in range(1, STEPS + 1):
         move = np.exp(np.array([[0.0, theta[-3]], [theta[-2], theta[-1]]]))
         weights = np.append(theta[: len(known)], 0.0)
-        odds = np.exp(np.clip(weights[x].sum(axis=1) + theta[len(known)], -30, 30))
+        odds = np.exp(np.clip(sum(weights[c] for c in x) + theta[len(known)], -30, 30))
         forward, backward, p = marginals(odds, offsets, move)
         grad = np.zeros_like(theta)
         gap = truth - p
-        grad[: len(known) + 1] = sum(np.bincount(c, gap, minlength=len(known) + 1) for c in x.T)
+        grad[: len(known) + 1] = sum(np.bincount(c, gap, minlength=len(known) + 1) for c in x)
         grad[len(known)] = gap.sum()
         inner = np.flatnonzero(~first[1:])
         a, b = forward[inner], odds[inner + 1] * backward[inner + 1]
@@ -193,8 +196,8 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_DOCS) -> Model:
     """Fits a model on at most `rows` labelled documents outside the held-out fifth."""
-    got = sample(docs, labels, label, rows, key, text).toPandas().sort_values("k", kind="stable")
-    return fit(got["text"].tolist(), got["y"].to_numpy())
+    got = sample(docs, labels, label, rows, key, text).toArrow().sort_by("k")
+    return fit(pa.concat_arrays(got["text"].chunks or [pa.array([], pa.string())]), got["y"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
