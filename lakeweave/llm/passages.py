@@ -25,10 +25,10 @@ LONGEST = WINDOW + SPREAD - 1
 WIDTH = -(-LONGEST // 8) * 8
 #: Of a window's other 38 bytes, 19 or more are on one side of the anchor.
 SIDE = (WINDOW - ANCHOR) // 2
-#: Bytes of text cut into pieces at once.
-PART = 4 << 20
+#: Bytes of text whose pieces are packed together, and whose windows are worked on at once.
+PART, STRETCH = 4 << 20, 1 << 19
 #: Pieces whose anchors, windows and index are worked on at once in a task.
-GROUP = 50_000
+GROUP = 20_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -45,8 +45,20 @@ def _hash_rows(rows: np.ndarray) -> np.ndarray:
     return h
 
 
-def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first window, number of windows, anchor's place, anchor's hash) of each piece of these texts."""
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, first window, number of windows, anchor's place, anchor's hash) of each piece of these texts.
+
+    Found stretch by stretch; a window's anchor depends on the window alone, so a stretch's end at most splits a piece.
+    """
+    got = []
+    for a in range(0, max(len(data) - WINDOW + 1, 1), STRETCH):
+        b = min(a + STRETCH + WINDOW - 1, len(data))
+        doc, start, count, place, h = _stretch(data[a:b], np.clip(offsets, a, b) - a)
+        got.append((doc, start + a, count, place + a, h))
+    return tuple(np.concatenate(x) for x in zip(*got))
+
+
+def _stretch(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     n = len(data)
     if n < WINDOW:
         return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)
@@ -214,14 +226,7 @@ def _dealt(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", PART):
                 data, offsets = utf8(part.column(2))
-                if offsets[-1] >= 1 << 24:  # one very long text: its windows' anchors are found in overlapping stretches
-                    got = [_pieces(data[a : a + (1 << 23) + WINDOW - 1], np.array([0, len(data[a : a + (1 << 23) + WINDOW - 1])])) for a in range(0, len(data) - WINDOW + 1, 1 << 23)]
-                    shift = [np.full(len(g[0]), a) for a, g in zip(range(0, len(data) - WINDOW + 1, 1 << 23), got)]
-                    doc, start, count, place, h = (np.concatenate([g[i] for g in got]) for i in range(5))
-                    start, place = start + np.concatenate(shift), place + np.concatenate(shift)
-                    doc = np.repeat(int(np.flatnonzero(np.diff(offsets) >= WINDOW)[-1]), len(doc))
-                else:
-                    doc, start, count, place, h = _pieces(data, offsets)
+                doc, start, count, place, h = _pieces(data, offsets)
                 if not len(doc):
                     continue
                 padded = np.concatenate([data, np.zeros(WIDTH, np.uint8)])
