@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeweave.llm import minhash
 from lakeweave.llm.columns import cut, shingle_hashes, shuffle_width, words
 from lakeweave.llm.components import components
 
@@ -163,6 +164,5 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
 
 def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that are the least of their group; of rows repeated under that key, all stay."""
-    first = near_groups(docs, key, text).where(F.col(key) == F.col("component")).select(F.col(key).alias("__kept")).distinct()
-    return docs.join(first, docs[key] == first["__kept"], "left_semi")
+    """The rows of docs that near-copy removal keeps, see minhash.keep: 64 bits cannot tell a similarity of 0.8."""
+    return minhash.keep(docs, key, text)
