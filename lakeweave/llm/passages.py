@@ -29,6 +29,8 @@ SIDE = (WINDOW - ANCHOR) // 2
 PART, STRETCH = 4 << 20, 1 << 19
 #: Pieces whose anchors, windows and index are worked on at once in a task.
 GROUP = 20_000
+#: Pieces whose repeats are folded at once before that, and spans that are sent off together.
+CHUNK, READY = 100_000, 500_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -90,15 +92,16 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return zstandard.compress(b"".join(a.tobytes() for a in arrays), 3)
 
 
-def _unpack(blob: bytes, n: int) -> tuple[np.ndarray, ...]:
-    """(rows, lengths, places, starts, documents, their text hashes) of a packed part."""
+def _unpack(blob: bytes, n: int, bare: bool = False) -> tuple[np.ndarray, ...]:
+    """(rows, lengths, places, starts, documents, their text hashes) of a packed part; bare: no rows are made."""
     data = zstandard.decompress(blob)
     length, place, step, new = (np.frombuffer(data, k, n, at * n) for k, at in (("u1", 0), ("u1", 1), ("<i4", 2), ("u1", 6)))
     first, at = np.flatnonzero(new), 7 * n
     ids, at = np.cumsum(np.frombuffer(data, "<i8", len(first), at)), at + 8 * len(first)
     hashes, at = np.frombuffer(data, "<u2", len(first), at), at + 2 * len(first)
-    rows = np.zeros((n, WIDTH), np.uint8)
-    rows[np.arange(WIDTH) < length[:, None]] = np.frombuffer(data, np.uint8, -1, at)
+    rows = np.zeros((0 if bare else n, WIDTH), np.uint8)
+    if not bare:
+        rows[np.arange(WIDTH) < length[:, None]] = np.frombuffer(data, np.uint8, -1, at)
     group, walked = np.cumsum(new) - 1, np.cumsum(step.astype(np.int64))
     start = walked - (walked[first] - step[first])[group]
     return rows, length, place, start, ids[group], hashes[group]
@@ -172,14 +175,14 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else np.zeros(0, np.int64)
 
 
-def _shared(keys: np.ndarray, there: np.ndarray, who: np.ndarray) -> np.ndarray:
-    """True where `there` and another `who` has the same key."""
+def _shared(keys: np.ndarray, there: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """True where `there` and rows of the same key, each with a range from low to high, have more than one value."""
     out = np.zeros(len(keys), bool)
     at = np.flatnonzero(there)
     if len(at):
         order, starts = _groups(keys[at])
-        low, high = np.minimum.reduceat(who[at][order], starts), np.maximum.reduceat(who[at][order], starts)
-        out[at[order]] = np.repeat(low < high, np.diff(np.append(starts, len(at))))
+        least, most = np.minimum.reduceat(low[at][order], starts), np.maximum.reduceat(high[at][order], starts)
+        out[at[order]] = np.repeat(least < most, np.diff(np.append(starts, len(at))))
     return out
 
 
@@ -195,28 +198,105 @@ def _side_keys(rows: np.ndarray, lengths: np.ndarray, place: np.ndarray) -> list
     return out
 
 
-def _marked(rows: np.ndarray, lengths: np.ndarray, place: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(piece, windows): for the pieces with any, which windows an earlier document has."""
-    keep = np.flatnonzero(np.any([_shared(k, there, doc) for k, there in _side_keys(rows, lengths, place)], axis=0)) if len(rows) else np.zeros(0, np.int64)
-    rows, lengths, place, doc = rows[keep], lengths[keep], place[keep], doc[keep]
-    if not len(keep):
-        return keep, np.zeros((0, SPREAD), bool)
+def _distinct(rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the pieces by their bytes, where each distinct one begins in it, and each piece's number among them."""
     hashed = _hash_rows(rows)
     order, _ = _groups(hashed)
     same = (hashed[order][1:] == hashed[order][:-1]) & (lengths[order][1:] == lengths[order][:-1]) & (rows[order][1:] == rows[order][:-1]).all(axis=1)
     starts = np.flatnonzero(np.concatenate([[True], ~same]))
-    distinct = np.empty(len(order), np.int64)
-    distinct[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
-    least = np.minimum.reduceat(doc[order], starts)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
+    return order, starts, number
+
+
+def _marked(rows: np.ndarray, lengths: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, least): for pieces of the documents from low to high, the least document of each window, if high is beyond any."""
+    keep = np.flatnonzero(np.any([_shared(k, there, low, high) for k, there in _side_keys(rows, lengths, place)], axis=0)) if len(rows) else np.zeros(0, np.int64)
+    rows, lengths, place, low, high = rows[keep], lengths[keep], place[keep], low[keep], high[keep]
+    if not len(keep):
+        return keep, np.zeros((0, SPREAD), np.int64)
+    order, starts, number = _distinct(rows, lengths)
+    own = np.minimum.reduceat(low[order], starts)
     one = order[starts]
     # Only distinct pieces that share 31 bytes with another one need the index; for the rest their own copies tell all.
-    near = np.any([_shared(k, there, np.arange(len(one))) for k, there in _side_keys(rows[one], lengths[one], place[one])], axis=0)
-    low = np.repeat(least[:, None], SPREAD, axis=1)
+    each = np.arange(len(one))
+    near = np.any([_shared(k, there, each, each) for k, there in _side_keys(rows[one], lengths[one], place[one])], axis=0)
+    least = np.repeat(own[:, None], SPREAD, axis=1)
     if near.any():
-        low[near] = np.minimum(low[near], _index(rows[one[near]], lengths[one[near]], least[near]))
-    hit = (low[distinct] < doc[:, None]) & (np.arange(SPREAD) < (lengths - WINDOW + 1)[:, None])
-    some = hit.any(axis=1)
-    return keep[some], hit[some]
+        least[near] = np.minimum(least[near], _index(rows[one[near]], lengths[one[near]], own[near]))
+    # A piece's windows that do not exist have their own copies' least document, so they are masked where pieces are read.
+    there = np.arange(SPREAD) < (lengths[one] - WINDOW + 1)[:, None]
+    lowest = np.where(there, least, np.iinfo(np.int64).max).min(axis=1)
+    some = np.flatnonzero(lowest[number] < high)
+    return keep[some], least[number[some]]
+
+
+def _spans(held: list[tuple[int, bytes]]) -> Iterator[np.ndarray]:
+    """Packed parts of whole anchors -> rows of (document, text hash, first, end) that earlier documents have.
+
+    The parts stay packed. They are opened twice, some CHUNK pieces at a time: first to keep each chunk's distinct pieces
+    with their range of documents, which alone are indexed; then to hold the pieces against the documents found.
+    """
+    chunks: list[list[tuple[int, bytes]]] = [[]]
+    for n, blob in held:
+        if sum(m for m, _ in chunks[-1]) >= CHUNK:
+            chunks.append([])
+        chunks[-1].append((n, blob))
+    kept: list[list[np.ndarray]] = [[], [], [], [], []]
+    numbers, base = [], 0
+    for chunk in chunks:
+        got = [_unpack(blob, n) for n, blob in chunk if n]
+        if not got:
+            numbers.append(np.zeros(0, np.int32))
+            continue
+        rows, length, place, ids = (np.concatenate([x[i] for x in got]) for i in (0, 1, 2, 4))
+        del got
+        order, starts, number = _distinct(rows, length)
+        one = order[starts]
+        for into, x in zip(kept, (rows[one], length[one], place[one], np.minimum.reduceat(ids[order], starts), np.maximum.reduceat(ids[order], starts))):
+            into.append(x)
+        numbers.append((number + base).astype(np.int32))
+        base += len(one)
+    if not base:
+        return
+    rows, length, place, low, high = (np.concatenate(x) for x in kept)
+    del kept
+    groups = -(-base // GROUP)
+    own = (_anchor_hash(rows, place) >> np.uint64(20)) % np.uint64(groups)  # equal anchors stay together
+    slot, least, found = np.full(base, -1, np.int32), [], 0
+    for g in range(groups):
+        part = np.flatnonzero(own == g)
+        hit, lows = _marked(rows[part], length[part].astype(np.int64), place[part].astype(np.int64), low[part], high[part])
+        slot[part[hit]] = np.arange(found, found + len(hit))
+        found += len(hit)
+        least.append(lows)
+    del rows, place, low, high, own
+    least = np.concatenate(least)
+    for chunk, number in zip(chunks, numbers):
+        at = 0
+        for n, blob in chunk:
+            _, length, _, start, ids, hashes = _unpack(blob, n, bare=True)
+            mine = slot[number[at : at + n]]
+            at += n
+            some = np.flatnonzero(mine >= 0)
+            got = []
+            for a in range(0, len(some), GROUP):
+                p = some[a : a + GROUP]
+                piece, window = np.nonzero((least[mine[p]] < ids[p][:, None]) & (np.arange(SPREAD) < (length[p].astype(np.int64) - WINDOW + 1)[:, None]))
+                got.append(_joined(ids[p[piece]], hashes[p[piece]].astype(np.int64), start[p[piece]] + window))
+            if got:
+                yield np.concatenate(got)
+
+
+def _joined(ids: np.ndarray, hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Windows' documents, text hashes and first bytes -> (document, text hash, first, end) of the stretches they cover."""
+    order = np.lexsort((begin, hashes, ids))
+    ids, hashes, begin = ids[order], hashes[order], begin[order]
+    if not len(ids):
+        return np.zeros((0, 4), np.int64)
+    first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1]) | (begin[1:] > begin[:-1] + WINDOW)]))
+    last = np.append(first[1:], len(begin)) - 1
+    return np.stack([ids[first], hashes[first], begin[first], begin[last] + WINDOW], axis=1)
 
 
 def _dealt(docs: DataFrame, width: int) -> DataFrame:
@@ -261,43 +341,22 @@ def _matched(dealt: DataFrame, width: int) -> DataFrame:
     """(bucket, spans): per task and bucket of documents, the spans that earlier documents have, as far as its anchors show."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(n, blob) for batch in batches for n, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        total = sum(n for n, _ in held)
-        if not total:
-            return
-        rows = np.zeros((total, WIDTH), np.uint8)
-        length, place, hashes = np.zeros(total, np.uint8), np.zeros(total, np.uint8), np.zeros(total, np.uint16)
-        start, ids = np.zeros(total, np.int64), np.zeros(total, np.int64)
-        at = 0
-        while held:
-            n, blob = held.pop()
-            for into, got in zip((rows, length, place, start, ids, hashes), _unpack(blob, n)):
-                into[at : at + n] = got
-            at += n
-        groups = -(-total // GROUP)
-        own = (_anchor_hash(rows, place) >> np.uint64(20)) % np.uint64(groups)  # equal anchors stay together
-        found: list[list[np.ndarray]] = [[], [], []]
-        for g in range(groups):
-            part = np.flatnonzero(own == g)
-            hit_rows, hit = _marked(rows[part], length[part].astype(np.int64), place[part].astype(np.int64), ids[part])
-            piece, window = np.nonzero(hit)
-            piece = part[hit_rows[piece]]
-            for x, y in zip(found, (ids[piece], hashes[piece], start[piece] + window)):
-                x.append(y)
-        i, h, begin = (np.concatenate(x) for x in found)
-        if not len(i):
-            return
-        bucket = _bucket(i, width)
-        order = np.lexsort((begin, h, i, bucket))
-        bucket, i, h, begin = bucket[order], i[order], h[order], begin[order]
-        row = np.concatenate([[True], (i[1:] != i[:-1]) | (h[1:] != h[:-1])])
-        first = np.flatnonzero(row | np.concatenate([[True], begin[1:] > begin[:-1] + WINDOW]))
-        last = np.append(first[1:], len(begin)) - 1
-        spans = np.stack([i[first], h[first].astype(np.int64), begin[first], begin[last] + WINDOW], axis=1)
-        cuts = np.searchsorted(bucket[first], np.arange(width + 1))
-        some = np.flatnonzero(np.diff(cuts))
-        blobs = [_pack(np.ascontiguousarray(spans[cuts[b] : cuts[b + 1]].T).astype("<i8")) for b in some]
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.ones(len(some), np.int32)), pa.array(blobs, pa.binary())], ["bucket", "kind", "data"])
+        def out(spans: np.ndarray) -> pa.RecordBatch:
+            bucket = _bucket(spans[:, 0], width)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(width + 1))
+            some = np.flatnonzero(np.diff(cuts))
+            blobs = [_pack(np.ascontiguousarray(spans[order[cuts[b] : cuts[b + 1]]].T).astype("<i8")) for b in some]
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.ones(len(some), np.int32)), pa.array(blobs, pa.binary())], ["bucket", "kind", "data"])
+
+        ready: list[np.ndarray] = []
+        for spans in _spans([(n, blob) for batch in batches for n, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]):
+            ready.append(spans)
+            if sum(len(x) for x in ready) >= READY:
+                yield out(np.concatenate(ready))
+                ready = []
+        if any(len(x) for x in ready):
+            yield out(np.concatenate(ready))
 
     return dealt.repartitionById(width, F.col("target")).mapInArrow(run, "bucket int, kind int, data binary")
 
