@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,14 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system at a task's end, as Python workers live on for tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def words(text: Column, lower: bool = False) -> Column:
     """The runs of bytes outside ASCII white space; with lower, A-Z become a-z first. Null or blank: an empty array."""
     frm, to = SPACES + (UPPER if lower else ""), " " * len(SPACES) + (LOWER if lower else "")

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.columns import shuffle_width, slices, utf8
+from lakeweave.llm.columns import give_back, shuffle_width, slices, utf8
 
 #: Bytes of a window and of an anchor; windows that can share an anchor; a piece's bytes at most, in whole 8-byte words.
 WINDOW, ANCHOR = 50, 12
@@ -30,7 +30,7 @@ PART, STRETCH = 4 << 20, 1 << 19
 #: Pieces whose anchors, windows and index are worked on at once in a task.
 GROUP = 20_000
 #: Pieces whose repeats are folded at once before that, and spans that are sent off together.
-CHUNK, READY = 100_000, 500_000
+CHUNK, READY = 30_000, 500_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -326,6 +326,7 @@ def _dealt(docs: DataFrame, width: int) -> DataFrame:
                     blob = _pack(length.astype("u1"), (place[at] - start[at]).astype("u1"), step.astype("<i4"), new.astype("u1"), _steps(ids[d[new]]), hashes[d[new]].astype("<u2"), rows[np.arange(WIDTH) < length[:, None]])
                     out[0].append(t), out[1].append(len(at)), out[2].append(blob)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["target", "n", "pieces"])
+        give_back()
 
     return docs.mapInArrow(run, "target int, n int, pieces binary")
 
@@ -357,6 +358,7 @@ def _matched(dealt: DataFrame, width: int) -> DataFrame:
                 ready = []
         if any(len(x) for x in ready):
             yield out(np.concatenate(ready))
+        give_back()
 
     return dealt.repartitionById(width, F.col("target")).mapInArrow(run, "bucket int, kind int, data binary")
 
