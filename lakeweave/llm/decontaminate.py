@@ -71,7 +71,8 @@ def occurrences(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", text
 
     starts = met.where("known").join(_small(prefix, n_prefix), "h").where("pos >= off AND pos - off + len <= n_words")
     starts = starts.select("id", "th", (F.col("pos") - F.col("off")).alias("start"), "wid").distinct()
-    named = starts.join(_small(wins, n_prefix), "wid")
+    wanted = wins.join(_small(prefix.select("wid"), n_prefix), "wid", "left_semi")  # one row a wid, so n_prefix at most
+    named = starts.join(_small(wanted, n_prefix), "wid")
     listed = cut(named.groupBy("id", "th").agg(F.collect_list(F.struct("start", "wid", "words")).alias("starts")))
     sought = listed.select("id", "th")
     texts = tokenised.join(_small(sought, sought.count()), (tokenised["id"].eqNullSafe(sought["id"])) & (tokenised["th"] == sought["th"]), "left_semi").dropDuplicates(["id", "th"])
