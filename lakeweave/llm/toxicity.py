@@ -17,9 +17,8 @@ from lakeweave.llm.labelled import sample
 
 #: Labelled documents that the model is fitted on at most; of them, documents whose chains the field is fitted on.
 FIT_DOCS, CHAIN_DOCS = 6_000, 1_500
-#: A word gets a weight if so many sampled documents have it; it marks toxic tokens if it leans to toxic ones by so many
-#: standard deviations.
-LEAST_DOCS, LEANING = 3, 6.5
+#: A word gets a weight if so many sampled documents have it. A toxic word's documents are toxic with this probability.
+LEAST_DOCS, TOXIC = 3, 0.95
 #: A word's features are itself and its first letters, so many of them.
 STEMS = (3, 4, 5, 6)
 STEPS, RATE, RIDGE = 40, 0.3, 1e-3
@@ -115,11 +114,24 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30
     return w
 
 
+def toxic_kind(n: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
+    """For features of n documents, `toxic` of them toxic: the probability of being of the toxic kind, not of any kind.
+
+    Two binomials are mixed; how many features are of the toxic kind is estimated from the counts themselves.
+    """
+    high = max(TOXIC, (1 + share) / 2)
+    gain = toxic * np.log(high / share) + (n - toxic) * np.log((1 - high) / (1 - share))
+    prior, own = 1e-3, gain[n > 0]
+    for _ in range(30):
+        prior = float(np.clip((1 / (1 + np.exp(np.clip(-own - np.log(prior / (1 - prior)), -50, 50)))).mean(), 1e-5, 1e-2)) if len(own) else prior
+    return 1 / (1 + np.exp(np.clip(-gain - np.log(prior / (1 - prior)), -50, 50)))
+
+
 def fit(texts: list[str] | pa.Array, labels: np.ndarray) -> Model:
     """Labels tokens, fits the field to them, and the documents' scores to the documents' labels.
 
-    A token of a toxic document is labelled toxic if its word or its first letters lean to toxic documents far beyond
-    chance. Without both kinds of label, or without such a word, the score is the share of toxic documents.
+    A token of a toxic document is toxic with the probability that its word, or its first letters, is of the toxic kind;
+    few labels give weak evidence, not none. Without both kinds of label, the score is the share of toxic documents.
     """
     y = np.asarray(labels, float)
     share = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.01
@@ -140,13 +152,10 @@ def fit(texts: list[str] | pa.Array, labels: np.ndarray) -> Model:
         n += np.bincount(pairs % (none + 1), minlength=none + 1)
         toxic += np.bincount(pairs % (none + 1), y[pairs // (none + 1)], minlength=none + 1)
     del met, met_doc, met_word, pairs
-    z = (toxic - n * share) / np.sqrt(np.maximum(n, 1) * share * (1 - share))
-    lean = (z >= LEANING) & (toxic > n / 2)
-    lean[none] = False
-    marks = lean[own].any(axis=1)
+    lean = toxic_kind(n, toxic, share)
+    lean[none] = 0
+    marks = lean[own].max(axis=1)
     known = np.flatnonzero(n[:none] >= LEAST_DOCS)
-    if not marks.any():
-        return flat
 
     rank = np.random.default_rng(11).permutation(len(y))
     chosen = np.zeros(len(y), bool)
@@ -159,11 +168,12 @@ def fit(texts: list[str] | pa.Array, labels: np.ndarray) -> Model:
     at = np.repeat(lines[pick] - offsets[:-1], n_line) + np.arange(offsets[-1])
     index = np.full(none + 1, len(known))
     index[known] = np.arange(len(known))
-    x, truth = [index[kind].astype(np.int32)[codes[at]] for kind in own.T], (marks[codes[at]] & (y[doc[at]] == 1)).astype(float)
+    x, truth = [index[kind].astype(np.int32)[codes[at]] for kind in own.T], marks[codes[at]] * y[doc[at]]
     first = np.zeros(len(at), bool)
     first[offsets[:-1]] = True
     seen = np.zeros((2, 2))  # steps between labelled neighbours
-    np.add.at(seen, (truth[:-1][~first[1:]].astype(int), truth[1:][~first[1:]].astype(int)), 1)
+    before, after = truth[:-1][~first[1:]], truth[1:][~first[1:]]
+    seen += [[((1 - before) * (1 - after)).sum(), ((1 - before) * after).sum()], [(before * (1 - after)).sum(), (before * after).sum()]]
 
     theta = np.zeros(len(known) + 1 + 3)  # words, bias, and the steps' log weights (clean to clean is 0)
     theta[len(known)] = -4.0
