@@ -1,13 +1,25 @@
-"""Cutting the lineage of iterative jobs in the shared checkpoint folder."""
+"""Cutting lineage through the folder that all executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the session's ``spark.checkpoint.dir``, beside the warehouse only where one machine does all."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        home = spark.conf.get("spark.checkpoint.dir", None)
+        if not home and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(home or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
+    return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once into the session's checkpoint folder; one beside the warehouse where the session names none."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
+    """Computes df once into the shared folder, so that later steps and lost executors read it from there.
+
+    Spark deletes these files when the session has spark.cleaner.referenceTracking.cleanCheckpoints; else they stay.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
