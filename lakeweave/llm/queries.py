@@ -62,8 +62,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = rules.judge(rules.measure(table(spark, sf_dir, "documents")))
-    return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    judged = rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_simhash, op4_urls, op5_html, op6_passages, op7_decontaminate, op8_packing, op9_sharding, op10_rules)}
@@ -113,20 +113,23 @@ def _inside(n: int) -> str:
     return f"max(a{n}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
 
-_LONG = rules.MAX_REPEAT + 1
+_LOW, _HIGH = rules.LONGEST_RANGE
 OP10_SQL = rf"""
 WITH d AS (SELECT doc_id, text, {_SPACE_WORDS} AS w FROM documents),
 each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
-grams AS (SELECT doc_id, i, length(word) AS n, {_window(5)} AS w5, {_window(rules.MIN_REPEAT)} AS w{rules.MIN_REPEAT}, {_window(_LONG)} AS w{_LONG} FROM each),
-again AS (SELECT doc_id, i, n, {_again(5)} AS a5, {_again(rules.MIN_REPEAT)} AS a{rules.MIN_REPEAT}, {_again(_LONG)} AS a{_LONG} FROM grams),
-inside AS (SELECT doc_id, n, a{_LONG} AS long_, {_inside(5)} AS r5, {_inside(rules.MIN_REPEAT)} AS covered FROM again),
-words AS (SELECT doc_id, sum(n) AS word_chars, sum(r5) AS n_repeat_words, sum(covered) AS covered, max(long_) AS long_ FROM inside GROUP BY doc_id),
+grams AS (SELECT doc_id, i, length(word) AS n, {_window(5)} AS w5, {_window(rules.MIN_REPEAT)} AS w{rules.MIN_REPEAT} FROM each),
+again AS (SELECT doc_id, i, n, {_again(5)} AS a5, {_again(rules.MIN_REPEAT)} AS a{rules.MIN_REPEAT} FROM grams),
+inside AS (SELECT doc_id, n, {_inside(5)} AS r5, {_inside(rules.MIN_REPEAT)} AS covered FROM again),
+words AS (SELECT doc_id, sum(n) AS word_chars, sum(r5) AS n_repeat_words, sum(covered) AS covered FROM inside GROUP BY doc_id),
+sized AS (SELECT doc_id, w, least(greatest(len(w) // {rules.LONGEST_SHARE}, {_LOW}), {_HIGH}) + 1 AS size FROM d),
+runs AS (SELECT doc_id, array_to_string(list_slice(w, i, i + size - 1), ' ') AS run FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM sized)),
+long AS (SELECT DISTINCT doc_id FROM (SELECT doc_id FROM runs GROUP BY doc_id, run HAVING count(*) > 1)),
 lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 counts AS (SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(w.word_chars, 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(coalesce(d.text, ''), '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
-  CAST(coalesce(l.n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(w.n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(w.covered, 0) AS covered, coalesce(w.long_, 0) AS long_
-  FROM d LEFT JOIN words w ON w.doc_id = d.doc_id LEFT JOIN lines l ON l.doc_id = d.doc_id),
+  CAST(coalesce(l.n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(w.n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(w.covered, 0) AS covered, g.doc_id IS NOT NULL AS too_long
+  FROM d LEFT JOIN words w ON w.doc_id = d.doc_id LEFT JOIN lines l ON l.doc_id = d.doc_id LEFT JOIN long g ON g.doc_id = d.doc_id),
 base AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND covered <= {rules.MAX_COVERED} * n_words AND long_ = 0 AS kept FROM base
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * covered <= {rules.MAX_COVERED} * n_words AND NOT too_long AS kept FROM base
 """
 
 

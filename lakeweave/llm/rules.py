@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from lakeweave.llm.columns import slices, sums, utf8, word_codes
 
-#: A repeat counts from so many words on.
-MIN_REPEAT = 10
-#: A text is kept while repeats cover at most this share of its words and the longest has at most so many words.
-MAX_COVERED, MAX_REPEAT = 0.2, 100
+#: A repeat counts towards the covered share from so many words on; the share of a text's words, in hundredths, that such
+#: repeats may cover. Both are the published limits of repeated 8-grams in web text.
+MIN_REPEAT, MAX_COVERED = 8, 12
+#: The longest repeat may have one word in so many of the text's, but always up to the first and never over the second number.
+LONGEST_SHARE, LONGEST_RANGE = 20, (8, 100)
 SYMBOLS = b"#*$%&|<>"
 #: Bytes of text whose suffixes are sorted together; a longer single text is sorted alone.
 PART = 4 << 20
-SCHEMA = "{id}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_covered_words long, longest_repeat long, repeat_spans array<struct<first: int, words: int>>"
+SCHEMA = "{id}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_covered_words long, longest_repeat long, repeat_spans array<struct<first: int, words: int>>, base_failed boolean, too_covered boolean, too_long boolean, kept boolean"
 
 
 def suffix_ranks(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
@@ -95,6 +96,14 @@ def covered(longest: np.ndarray, least: int) -> np.ndarray:
     return np.cumsum(edges[: len(longest)]) > 0
 
 
+def verdicts(n: np.ndarray, again: np.ndarray, inside: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(base_failed, too_covered, too_long, kept) of texts of n words, by their repeated words and longest repeats."""
+    base = (n < 10) | (100 * again > 20 * n)
+    too_covered = 100 * inside > MAX_COVERED * n
+    too_long = most > np.clip(n // LONGEST_SHARE, *LONGEST_RANGE)
+    return base, too_covered, too_long, ~(base | too_covered | too_long)
+
+
 def _statistics(part: pa.RecordBatch, min_repeat: int) -> pa.RecordBatch:
     texts = pc.fill_null(part.column("text"), "")
     values, codes, offsets = word_codes(texts)
@@ -126,24 +135,25 @@ def _statistics(part: pa.RecordBatch, min_repeat: int) -> pa.RecordBatch:
     last = np.flatnonzero(inside & ~np.concatenate([inside[1:] & (owner[1:] == owner[:-1]), [False]])) if len(inside) else first
     spans = pa.StructArray.from_arrays([pa.array((first - offsets[owner[first]]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))], ["first", "words"])
     span_at = np.concatenate([[0], np.cumsum(np.bincount(owner[first], minlength=len(texts)))]).astype(np.int32)
-    columns = [
-        part.column(0), lengths, sums(chars[codes], offsets), sums(is_symbol[data].astype(np.int64), at), n_dup,
-        sums(covered(longest, 5).astype(np.int64), offsets), sums(inside.astype(np.int64), offsets), most,
-    ]
-    names = [part.schema.names[0], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "longest_repeat", "repeat_spans"]
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x.astype(np.int64)) for x in columns] + [pa.ListArray.from_arrays(pa.array(span_at), spans)], names)
+    again, within = sums(covered(longest, 5).astype(np.int64), offsets), sums(inside.astype(np.int64), offsets)
+    counts = [lengths, sums(chars[codes], offsets), sums(is_symbol[data].astype(np.int64), at), n_dup, again, within, most]
+    columns = [part.column(0), *(pa.array(x.astype(np.int64)) for x in counts), pa.ListArray.from_arrays(pa.array(span_at), spans), *map(pa.array, verdicts(lengths, again, within, most))]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "longest_repeat", "repeat_spans", "base_failed", "too_covered", "too_long", "kept"]
+    return pa.RecordBatch.from_arrays(columns, [part.schema.names[0], *names])
 
 
-def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", min_repeat: int = MIN_REPEAT) -> DataFrame:
-    """One row per row of docs: its counts and its repeated spans.
+def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", min_repeat: int = MIN_REPEAT) -> DataFrame:
+    """One row per row of docs: its counts, its repeated spans and the verdict.
 
     n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines with a word that equal an earlier line),
     n_repeat_words (words in 5-word windows found twice or more), n_covered_words (words in the union of repeated runs
-    of min_repeat words or more), longest_repeat (words) and repeat_spans (that union, by word number).
+    of min_repeat words or more), longest_repeat (words) and repeat_spans (that union, by word number); base_failed (too
+    few words, or too many in repeated windows), too_covered and too_long (the limits on the covered share and on the
+    longest repeat), kept (none of the three).
 
-    Null and blank texts have zero words and counts of 0. Repeated rows are measured one by one; a null key stays null.
-    Long texts are taken whole: their suffixes are sorted in one array of a few times the text's size. Other columns
-    of docs are not read, so their names cannot clash.
+    Null and blank texts have zero words and counts of 0, so the base rule fails them. Repeated rows are measured one by
+    one; a null key stays null. Long texts are taken whole: their suffixes are sorted in one array of a few times the
+    text's size. Other columns of docs are not read, so their names cannot clash.
     """
     kind = docs.schema[key].dataType.simpleString()
 
@@ -155,26 +165,17 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", min_repeat
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA.format(id=f"id {kind}")).withColumnRenamed("id", key)
 
 
-def judge(measured: DataFrame, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """Adds base_failed (too few words, or too many in repeated windows) and kept (base and repeat limits both hold)."""
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    fine = (F.col("n_covered_words") <= max_covered * F.col("n_words")) & (F.col("longest_repeat") <= max_repeat)
-    return measured.withColumn("base_failed", base).withColumn("kept", ~base & fine)
-
-
 def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text passes. Judged where the row is read: no join and no shuffle.
+    """The rows of docs, all columns, whose text is kept by the verdict of judge. No join and no shuffle: judged where read.
 
-    Nulls in other columns pass through. A null or empty text has no words and goes.
+    Nulls in other columns, and null keys, pass through. A null or empty text has no words and goes.
     """
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text, PART):
-                s = _statistics(pa.RecordBatch.from_arrays([pa.array(np.arange(part.num_rows)), part.column(text)], ["id", "text"]), MIN_REPEAT)
-                n, again, inside, most = (s.column(c).to_numpy() for c in ("n_words", "n_repeat_words", "n_covered_words", "longest_repeat"))
-                ok = (n >= 10) & (100 * again <= 20 * n) & (inside <= MAX_COVERED * n) & (most <= MAX_REPEAT)
-                yield part.filter(pa.array(ok))
+                bare = pa.RecordBatch.from_arrays([pa.array(np.arange(part.num_rows)), part.column(text)], ["id", "text"])
+                yield part.filter(_statistics(bare, MIN_REPEAT).column("kept"))
 
     return docs.mapInArrow(run, schema)

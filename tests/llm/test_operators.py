@@ -54,22 +54,35 @@ def test_rules(spark, odd, none):
 
     texts = [t for _, t, _ in ODD] + ["a b c d e f " * 9, "x y z\nx y z\n\nx y z", "The " * 500, "p q r s t u v w p q r s t u v w z"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r for r in rules.judge(rules.measure(df)).collect()}
+    got = {r.doc_id: r for r in rules.judge(df).collect()}
     for i, t in enumerate(texts):
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(t), t[:50] if t else t
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
     assert got[len(ODD) + 2].longest_repeat == 499
-    assert len(rows(rules.measure(odd))) == len(ODD) and rows(rules.measure(none)) == []
+    assert len(rows(rules.judge(odd))) == len(ODD) and rows(rules.judge(none)) == []
     kept = rules.keep(odd)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {1, 6, 9} and rows(rules.keep(none)) == []
 
 
-def test_passage_longer_than_the_limit_goes(spark):
-    passage = " ".join(f"p{i}" for i in range(150))
-    text = " ".join([passage, *(f"q{i}" for i in range(2000)), passage])
-    [r] = rules.judge(rules.measure(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect()
-    assert not r.base_failed and not r.kept and r.longest_repeat == 150 and len(r.repeat_spans) == 2
+def test_each_limit_of_the_rules_rejects_alone(spark):
+    p, q = lambda n: [f"p{i}" for i in range(n)], lambda n: [f"q{i}" for i in range(n)]
+    lines = [[f"r{k}x{i}" for i in range(9)] for k in range(3)]
+    texts = {
+        "long": p(150) + q(2800) + p(150), "long for its size": p(22) + q(370) + p(22), "covered": sum((x + q(330)[30 * k : 30 * k + 30] + x for k, x in enumerate(lines)), q(250)[100:]),
+        "clean": p(8) + q(400) + p(8), "base": p(30) + q(100) + p(30), "once": q(500),
+    }
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id string, text string")
+    got = {r.doc_id: (r.base_failed, r.too_covered, r.too_long, r.kept) for r in rules.judge(df).collect()}
+    assert got["long"] == got["long for its size"] == (False, False, True, False)
+    assert got["covered"] == (False, True, False, False) and got["base"][0] and not got["base"][3]
+    assert got["clean"] == got["once"] == (False, False, False, True)
+    assert {r.doc_id for r in rules.keep(df).collect()} == {"clean", "once"}
+
+
+def test_the_rules_reject_rows_of_the_tables(spark, tiny):
+    judged = rules.judge(spark.read.parquet(f"{tiny.replace('0.001', '0.01')}/documents.parquet")).where("NOT base_failed").toPandas()
+    assert judged.too_covered.sum() > 0 and judged.too_long.sum() > 0 and judged.kept.mean() > 0.97
 
 
 def fingerprint(text):
@@ -213,11 +226,36 @@ def test_urls(spark):
     assert rows(urls.judge(df.limit(0))) == [] and {r.verdict for r in urls.judge(df, rules=[]).collect()} == {"allow"}
 
 
-def test_urls_learn_a_pattern(spark):
-    known = [(i, f"http://h{i}.bad.zz/x{i}" if i % 2 else f"http://h{i}.good.zz/item/{i}/") for i in range(200)]
-    more = [(1000 + i, f"http://q{i}.other.yy/x{i}" if i % 2 else f"http://q{i}.other.yy/item/{i}/") for i in range(20)]
-    got = urls.judge(spark.createDataFrame(known + more, "page_id long, url string"), rules=[("block", "bad.zz", "/"), ("allow", "good.zz", "/")]).where("page_id >= 1000").collect()
-    assert np.mean([r.verdict == ("block" if r.page_id % 2 else "allow") for r in got]) > 0.8
+def test_urls_odd_rows(spark):
+    rows_ = [(1, "http://a.com/x", "a"), (1, "http://a.com/x", "a"), (None, "http://b.net/es/1", "b"), (None, None, None), (2, "http://c.org/" + "y" * 200_000 + "?a=1&b=2", "c"), (3, "", "d")]
+    odd = spark.createDataFrame(rows_, "page_id long, url string, host string").selectExpr("*", "host AS path", "host AS label", "host AS score", "host AS fold", "host AS id", "host AS u")
+    got = urls.judge(odd).collect()
+    assert len(got) == 6 and [r.rule for r in got if r.page_id == 1] == ["com/"] * 2
+    assert sorted(r.host for r in got if r.page_id is None) == ["", "b.net"] and all(0 <= r.score <= 1 and r.verdict in ("allow", "block") for r in got)
+
+
+def test_urls_generalise_to_hosts_without_a_rule(spark):
+    rng = np.random.default_rng(2)
+    bad = lambda: f"{rng.integers(10**9)}/{rng.integers(10**6)}.php?a={rng.integers(999)}&b={rng.integers(99)}&c=1"
+    good = lambda: "/".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(3))
+    kinds = rng.random(200) < 0.5
+    shown = np.where(rng.random(200) < 0.1, ~kinds, kinds)  # a tenth of the rules are wrong
+    rules_ = [("block" if shown[i] else "allow", f"site{i}.t{i % 12}", "/") for i in range(150)]
+    made = [(i, f"http://site{i}.t{i % 12}/{bad() if kinds[i] else good()}") for i in range(200) for _ in range(8)]
+    got = urls.judge(spark.createDataFrame(made, "page_id long, url string"), rules=rules_).where("rule IS NULL").collect()
+    assert len(got) == 400 and len({round(r.score, 4) for r in got}) > 20
+    assert np.mean([(r.verdict == "block") == kinds[r.page_id] for r in got]) > 0.9
+
+
+def test_a_label_does_not_inform_its_own_domain(spark):
+    made = [(i, f"http://h{i % 40}.only{i % 40}.zz/x") for i in range(400)]
+    rules_ = [("block" if i % 2 else "allow", f"only{i}.zz", "/") for i in range(40)]
+    df = urls.with_statistics(urls.features(spark.createDataFrame(made, "page_id long, url string"), "page_id", "url", rules_)).toPandas()
+    share = df.groupby("fold").f_suffix_share.nunique()
+    assert (share == 1).all()  # one for a whole fold, whatever the label
+    for f, own in df.groupby("fold"):
+        rest = df[df.fold != f]
+        assert np.allclose(own.f_suffix_share, (rest.label.sum() + urls.PRIOR) / (len(rest) + 2 * urls.PRIOR))
 
 
 def test_html(spark, tiny):
@@ -241,6 +279,33 @@ def test_html(spark, tiny):
     assert rows(html.extract(odd.limit(0), model)) == []
 
 
+def texts_of(html_):
+    return [text for _, text, _ in html.blocks(html_)]
+
+
+def test_html_blocks_lose_no_text():
+    assert texts_of("<p>Let <math><mi>x</mi></math> be.</p>") == ["Let x be."]
+    assert texts_of("<noscript><p>kept para</p></noscript><object>fallback</object>") == ["kept para", "fallback"]
+    assert texts_of("<p>a<svg><path d=x /><text>in</text>b</p><p>after</p>") == ["ainb", "after"]
+    assert texts_of("<title>T &amp; <b></title><p>x</p><script>no()</script ><style>p{}</style>y") == ["T & <b>", "x", "y"]
+    assert html.blocks("<p><a href=http://a.com/>linked it</a></p>") == [(("p",), "linked it", 9)]
+    assert texts_of("<div/>one<p>two") == ["one", "two"] and texts_of("<x-card>a</x-card> b") == ["a b"]
+
+
+def test_html_words_of_every_block_count():
+    page = lambda w: [(("html", "body", "div"), " ".join([w] * 40), 0)]
+    a, b = html.vectors([page("cookies"), page("river")])
+    at = slice(html.PATH_BITS, html.PATH_BITS + html.WORD_BITS)
+    assert np.abs(a[0, at]).max() > 0.3 and not np.allclose(a[0, at], b[0, at]) and html._path_vector.cache_info().maxsize
+
+
+def test_html_odd_columns(spark):
+    df = spark.createDataFrame([(1, "<article><p>a b c.</p></article>", "t", 3), (1, "<article><p>a b c.</p></article>", "t", 3), (None, "<article><p>d e f.</p></article>", None, None)], "page_id long, html string, text string, n_blocks int")
+    got = html.extract(df.selectExpr("*", "text AS k0"), html.train(), keep=["text", "k0", "page_id"])
+    assert got.columns == ["page_id", "k0", "text", "n_blocks"]
+    assert sorted((r.page_id or 0, r.k0 or "", r.text) for r in got.collect()) == [(0, "", "d e f."), (1, "t", "a b c."), (1, "t", "a b c.")]
+
+
 def auc(y, p):
     order = np.argsort(p, kind="stable")
     rank = np.empty(len(p))
