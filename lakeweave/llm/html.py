@@ -6,27 +6,30 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.columns import slices
+from lakeweave.llm.columns import slices, word_codes
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?", re.S)
 NAMES = re.compile(r"""(?:\b(?:class|id|role)\s*=\s*)("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 WORD = re.compile(r"[^\W_]+")
-#: Fixed by HTML: elements without content, whose content is not text of the page, and that do not break a line of text.
+#: Fixed by HTML: elements without content; code that is no text; text in which tags are not read; what breaks a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style template noscript textarea title svg math iframe object select option".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+CODE = frozenset("script style template".split())
+LITERAL = frozenset("title textarea".split())
+BLOCK = frozenset("address article aside blockquote body br button caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li link main menu meta nav ol optgroup option p plaintext pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
+FOREIGN = frozenset("svg math".split())
 
-PATH_BITS, WORD_BITS, HIDDEN_UNITS = 96, 16, 24
+PATH_BITS, WORD_BITS, HIDDEN_UNITS = 96, 32, 24
 #: The labeller is fitted on so many made-up pages, in so many passes; pages labelled together in one batch.
-FIT_PAGES, PASSES, BATCH = 480, 14, 256
+FIT_PAGES, PASSES, BATCH = 960, 10, 256
 PART = 4 << 20
 
 
@@ -34,8 +37,9 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(path, text, link characters) of each block in page order: text between block-level tags, references decoded.
 
     path: the tags around it from the root, each with the words of its class, id and role. White space is folded, blank
-    blocks are left out. Unclosed and stray tags are taken as browsers do in the common cases: p ends an open p, li an
-    open li; an end tag closes down to its start tag, or is passed over.
+    blocks are left out, as is the code of scripts, styles and templates; all other text is in some block. Unclosed and
+    stray tags are taken as browsers do in the common cases: p ends an open p, li an open li; an end tag closes down to
+    its start tag, or is passed over; only void elements, and those of drawings and formulas, close themselves.
     """
     out: list[tuple[tuple[str, ...], str, int]] = []
     stack: list[tuple[str, str]] = []
@@ -48,7 +52,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         if text:
             whole = " ".join("".join(text).split())
             if whole:
-                out.append((tuple(label for tag, label in stack if tag not in INLINE or tag == "a"), whole, linked))
+                out.append((tuple(label for tag, label in stack if tag in BLOCK or tag == "a"), whole, linked))
             text.clear()
         linked = 0
 
@@ -73,20 +77,25 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         closing, rest = m[1] or m[4], m[3] or m[6] or ""
         if closing:
-            if name not in INLINE:
+            if name in BLOCK:
                 flush()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     del stack[i:]
                     break
             continue
-        if name in HIDDEN:
-            flush()
-            if not rest.endswith("/"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-                at = end.end() if end else size
+        foreign = name in FOREIGN or any(tag in FOREIGN for tag, _ in stack)
+        if name in CODE or name in LITERAL and not foreign:
+            end = _closing(name).search(html, at)
+            if name in LITERAL:
+                flush()
+                stack.append((name, name))
+                plain(html[at : end.start() if end else size])
+                flush()
+                stack.pop()
+            at = end.end() if end else size
             continue
-        if name not in INLINE:
+        if name in BLOCK:
             flush()
             if name in ("p", "li", "td", "th", "tr", "dd", "dt") or any(tag == "p" for tag, _ in stack):
                 for i in range(len(stack) - 1, -1, -1):
@@ -94,9 +103,9 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
                     if tag == name or tag == "p":
                         del stack[i:]
                         break
-                    if tag not in INLINE:
+                    if tag in BLOCK:
                         break
-        if name not in VOID and not rest.endswith("/"):
+        if name not in VOID and not (foreign and rest.endswith("/")):
             words = " ".join(v.strip("\"'") for v in NAMES.findall(rest)) if rest else ""
             stack.append((name, f"{name} {words}".strip()))
     flush()
@@ -104,12 +113,16 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
 
 
 @cache
+def _closing(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?:\s[^>]*)?>", re.I)
+
+
 def _hash(word: str, buckets: int) -> tuple[int, float]:
     h = zlib.crc32(word.encode())
     return h % buckets, 1.0 if h >> 16 & 1 else -1.0
 
 
-@cache
+@lru_cache(4096)
 def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     """Hashed tags and names of the whole path, and how the path looks at its root and its leaf."""
     v = np.zeros(PATH_BITS, np.float32)
@@ -122,16 +135,29 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return np.clip(v, -2, 2)
 
 
-def vectors(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
-    """One row a block: its path, its words (hashed, all of them), and its length, links, signs and place."""
-    out = np.zeros((len(page), PATH_BITS + WORD_BITS + 6), np.float32)
-    for row, (i, (path, text, linked)) in zip(out, enumerate(page)):
-        row[:PATH_BITS] = _path_vector(path)
-        words = text.split(" ")
-        for w in words if len(words) <= 8 else ():  # short blocks: what they say; longer ones: how long they are
-            j, sign = _hash(w.lower(), WORD_BITS)
-            row[PATH_BITS + j] += 0.3 * sign
-        row[PATH_BITS + WORD_BITS :] = (np.log1p(len(words)) / 3, linked / len(text), len(path) / 8, i / len(page), text[-1] in ".!?", 1)
+def _word_vectors(texts: list[str]) -> np.ndarray:
+    """One row a block: all its words (hashed, lower-cased, without signs at their ends), by the root of their number, within bounds."""
+    values, codes, offsets = word_codes(pa.array(texts, pa.string()))
+    hashed = [_hash(w, WORD_BITS) for w in pc.utf8_trim(pc.utf8_lower(values), ".,;:!?()\"'").to_pylist()]
+    bucket, sign = np.array([i for i, _ in hashed], np.int64), np.array([x for _, x in hashed])
+    n = np.diff(offsets)
+    block = np.repeat(np.arange(len(texts)), n)
+    got = np.bincount(block * WORD_BITS + bucket[codes], sign[codes], minlength=len(texts) * WORD_BITS) if len(codes) else np.zeros(len(texts) * WORD_BITS)
+    return np.clip(0.3 * got.reshape(-1, WORD_BITS) / np.sqrt(np.maximum(n, 1))[:, None], -0.6, 0.6).astype(np.float32)
+
+
+def vectors(pages: list[list[tuple[tuple[str, ...], str, int]]]) -> list[np.ndarray]:
+    """For each page one row a block: its path, all its words, and its length, links, signs and place."""
+    words = _word_vectors([text for page in pages for _, text, _ in page])
+    out, at = [], 0
+    for page in pages:
+        own = np.zeros((len(page), PATH_BITS + WORD_BITS + 6), np.float32)
+        own[:, PATH_BITS : PATH_BITS + WORD_BITS] = words[at : at + len(page)]
+        at += len(page)
+        for row, (i, (path, text, linked)) in zip(own, enumerate(page)):
+            row[:PATH_BITS] = _path_vector(path)
+            row[PATH_BITS + WORD_BITS :] = (np.log1p(text.count(" ") + 1) / 3, linked / len(text), len(path) / 8, i / len(page), text[-1] in ".!?", 1)
+        out.append(own)
     return out
 
 
@@ -200,7 +226,7 @@ class Labeller:
             group = order[at : at + BATCH]
             steps = len(pages[group[-1]])
             for one in ([group] if steps * len(group) < 50_000 else [[i] for i in group]):
-                x, mask = _padded([vectors(pages[i]) for i in one])
+                x, mask = _padded(vectors([pages[i] for i in one]))
                 p, _ = self.run(x, mask)
                 for i, row in zip(one, p):
                     out[i] = row[: len(pages[i])] > 0.5
@@ -219,16 +245,18 @@ def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 MAIN = ["<article>|</article>", "<main>|</main>", "<main><article>|</article></main>", '<div class="content">|</div>', '<div id="content"><div class="post">|</div></div>', '<div class="article-body">|</div>', '<section class="entry-content">|</section>', '<div class="story">|</div>', '<article class="post">|</article>', '<div id="main"><article>|</article></div>', '<main id="main" role="main">|</main>', '<div class="main-content">|</div>']
 SIDE = ["nav", "header", "footer", "aside", "div class=menu", "div class=navbar", "ul class=menu", "div class=header", "div id=header", "div class=footer", "div id=footer", "div class=sidebar", "div id=sidebar", "aside class=sidebar", "div class=widget", "div class=breadcrumbs", "div role=navigation", "div class=topbar", "section class=related", "div class=share", "div class=social"]
 NOTICE = ["div class=ad", "div class=ads", "div class=advert", "div class=advertisement", "div class=sponsored", "div class=promo", "div class=banner", "div id=ad", "aside class=ad", "div class=cookie", "div class=cookie-notice", "div class=cookie-banner", "div id=cookies", "div class=notice", "div role=alert", "div class=popup", "div class=newsletter", "div class=subscribe", "form", "form class=search", "div class=login", "div class=consent", "div class=gdpr"]
+CUES = "cookie cookies accept consent privacy subscribe newsletter login sign advertisement sponsored share follow reply comments related menu search copyright rights reserved".split()
 TALK = ["section class=comments", "div class=comments", "div id=comments", "section id=comments", "div class=comment-list", "ol class=comments", "div id=disqus_thread", "div class=comment", "div class=replies", "section class=reader-comments"]
 
 
 def made_up(n: int, seed: int = 5) -> list[tuple[str, list[bool]]]:
-    """Pages of random words with known main blocks, laid out in many ways; the words say nothing of the part they are in."""
+    """Pages of random words with known main blocks, laid out in many ways; only some parts beside the article have words of CUES."""
     rng = np.random.default_rng(seed)
     pick = lambda options: options[rng.integers(len(options))]
     syllables = "an en er in on re th ti ou le la de es ver ge sch mi lo ta ci que ment tion ly".split()
     word = lambda: "".join(pick(syllables) for _ in range(rng.integers(1, 5)))
-    line = lambda a, b: " ".join(word() for _ in range(rng.integers(a, b))).capitalize() + pick([".", ".", "", "!"])
+    cue = lambda: pick(CUES) if rng.random() < 0.15 else word()
+    line = lambda a, b, word=word: " ".join(word() for _ in range(rng.integers(a, b))).capitalize() + pick([".", ".", "", "!"])
 
     def part(spec: str, kind: str) -> tuple[str, int]:
         tag, _, attrs = spec.partition(" ")
@@ -243,14 +271,14 @@ def made_up(n: int, seed: int = 5) -> list[tuple[str, list[bool]]]:
         if tag == "form":
             return f"<form{attrs}><label>{line(1, 4)}</label><input name=q><button>{line(1, 3)}</button></form>", 2
         if rng.random() < 0.5:
-            return f"<{tag}{attrs}>{line(3, 25)}{close}", 1
+            return f"<{tag}{attrs}>{line(3, 25, cue)}{close}", 1
         m = int(rng.integers(1, 5))
-        inner = "".join(pick(["<p>{}</p>", "<div>{}</div>", "<p><b>{}</b></p>", "<div class=comment><p>{}</p></div>" if kind == "talk" else "<p>{}</p>"]).format(line(1, 40)) for _ in range(m))
+        inner = "".join(pick(["<p>{}</p>", "<div>{}</div>", "<p><b>{}</b></p>", "<div class=comment><p>{}</p></div>" if kind == "talk" else "<p>{}</p>"]).format(line(1, 40, cue)) for _ in range(m))
         return f"<{tag}{attrs}>{inner}{close}", m
 
     out = []
     for _ in range(n):
-        html, truth = ["<!DOCTYPE html><html><head><title>" + line(2, 8) + "</title></head><body>"], []
+        html, truth = ["<!DOCTYPE html><html><head><title>" + line(2, 8) + "</title></head><body>"], [False]
 
         def add(specs: list[str], kind: str, chance: float) -> None:
             while rng.random() < chance:
@@ -294,15 +322,13 @@ def made_up(n: int, seed: int = 5) -> list[tuple[str, list[bool]]]:
     return out
 
 
+@cache
 def train(pages: int = FIT_PAGES, passes: int = PASSES, seed: int = 5) -> Labeller:
-    """Fits a labeller on made-up pages by Adam; the same each time."""
+    """Fits a labeller on made-up pages by Adam, some seconds in the driver once a session; the same each time."""
     rng = np.random.default_rng(seed)
-    rows, truths = [], []
-    for html, truth in made_up(pages, seed):
-        found = blocks(html)
-        if len(found) == len(truth):
-            rows.append(vectors(found))
-            truths.append(np.array(truth, np.float32))
+    made = [(blocks(html), truth) for html, truth in made_up(pages, seed)]
+    made = [(found, truth) for found, truth in made if len(found) == len(truth)]
+    rows, truths = vectors([found for found, _ in made]), [np.array(truth, np.float32) for _, truth in made]
     d, k = rows[0].shape[1], HIDDEN_UNITS
     make = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
     model = Labeller([make(d, 4 * k), make(k, 4 * k), np.zeros(4 * k, np.float32), make(d, 4 * k), make(k, 4 * k), np.zeros(4 * k, np.float32), make(2 * k + d), np.zeros(1, np.float32)])
@@ -331,9 +357,10 @@ def extract(pages: DataFrame, model: Labeller, key: str = "page_id", html: str =
 
     text: the page's main blocks in page order, joined by one space; references are decoded and white space is folded.
     Null, empty and textless pages give the empty text. Repeated rows are read one by one, null keys stay. A page is read
-    whole, whatever its length.
+    whole, whatever its length. A column of `keep` named text, n_blocks or like the key is left out; other columns are not
+    read.
     """
-    keep = keep or []
+    keep = [c for c in keep or [] if c not in (key, "text", "n_blocks")]
     fields = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
