@@ -1,4 +1,4 @@
-"""Shared helpers: cutting lineage, words and shingles as Spark columns, words of an Arrow column as numpy arrays."""
+"""Shared helpers: words and shingles as Spark columns, words of an Arrow column as numpy arrays."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeweave.operators.cut import cut as cut
+
 # White space is ASCII only: 0x20 and 0x09 to 0x0D.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = "\t\n\x0b\x0c\r"
@@ -20,19 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once into the shared checkpoint folder, so that later steps and lost executors read it from there.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, one machine) is one made
-    beside the warehouse.
-    """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        home = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
-        spark.sparkContext.setCheckpointDir(home)
-    return df.checkpoint(eager=True)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

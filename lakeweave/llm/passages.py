@@ -2,21 +2,24 @@
 
 Every 50-byte window has an anchor: the 12-byte string of least hash inside it, so equal windows have equal anchors.
 Neighbouring windows with one anchor make a piece. Pieces are dealt out by their anchor, so all copies of a window meet
-in one task; there an index over the distinct pieces streams, for each position, whether an earlier document has it.
+in one task. There a run-length index is built over the pieces that may be the earlier ones, and the later ones are
+streamed against it: their matching statistics tell which windows an earlier document has.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeweave.llm.columns import give_back, shuffle_width, slices, utf8
+from lakeweave.llm.columns import cut, give_back, shuffle_width, slices, utf8
 
 #: Bytes of a window and of an anchor; windows that can share an anchor; a piece's bytes at most, in whole 8-byte words.
 WINDOW, ANCHOR = 50, 12
@@ -27,8 +30,11 @@ WIDTH = -(-LONGEST // 8) * 8
 SIDE = (WINDOW - ANCHOR) // 2
 #: Bytes of text whose pieces are packed together, and whose windows are worked on at once.
 PART, STRETCH = 4 << 20, 1 << 19
+#: Bytes of all texts for each group of anchors (of which a task works on one at a time) and bucket of documents; tasks at most.
+SHARE, TASKS = 8 << 20, 20_000
 #: Pieces whose anchors, windows and index are worked on at once in a task.
 GROUP = 20_000
+NONE = np.iinfo(np.int64).max
 #: Pieces whose repeats are folded at once before that, and spans that are sent off together.
 CHUNK, READY = 30_000, 500_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -93,12 +99,12 @@ def _pack(*arrays: np.ndarray) -> bytes:
 
 
 def _unpack(blob: bytes, n: int, bare: bool = False) -> tuple[np.ndarray, ...]:
-    """(rows, lengths, places, starts, documents, their text hashes) of a packed part; bare: no rows are made."""
+    """(rows, lengths, places, starts, documents, their text numbers) of a packed part; bare: no rows are made."""
     data = zstandard.decompress(blob)
     length, place, step, new = (np.frombuffer(data, k, n, at * n) for k, at in (("u1", 0), ("u1", 1), ("<i4", 2), ("u1", 6)))
     first, at = np.flatnonzero(new), 7 * n
     ids, at = np.cumsum(np.frombuffer(data, "<i8", len(first), at)), at + 8 * len(first)
-    hashes, at = np.frombuffer(data, "<u2", len(first), at), at + 2 * len(first)
+    hashes, at = np.frombuffer(data, "<i4", len(first), at), at + 4 * len(first)
     rows = np.zeros((0 if bare else n, WIDTH), np.uint8)
     if not bare:
         rows[np.arange(WIDTH) < length[:, None]] = np.frombuffer(data, np.uint8, -1, at)
@@ -107,83 +113,132 @@ def _unpack(blob: bytes, n: int, bare: bool = False) -> tuple[np.ndarray, ...]:
     return rows, length, place, start, ids[group], hashes[group]
 
 
-def _index(rows: np.ndarray, lengths: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """For distinct pieces and the least document of each: the least document that has each window (row, window).
+class RunIndex:
+    """A run-length Burrows-Wheeler transform of pieces, sampled at the ends of its runs.
 
-    The pieces' suffixes are sorted by prefix doubling and give the Burrows-Wheeler transform, kept as its runs with the
-    number of equal characters before each. From each piece's end, the runs' mapping steps back byte by byte; at each
-    step the position's match statistic is read off: its rank's interval of suffixes that agree for a whole window.
+    Kept are, for each run, its first row, its symbol and the number of equal symbols before it; the text positions of
+    the suffixes in its first and in its last row; and for each text position the least document of all suffixes that
+    agree with it for a whole window.
     """
-    u, total = len(rows), int(lengths.sum())
-    ends = np.cumsum(lengths + 1)
-    piece = np.repeat(np.arange(u), lengths + 1)
-    left = np.repeat(ends, lengths + 1) - np.arange(total + u) - 1  # bytes up to the piece's end
-    symbols = np.zeros(total + u, np.int64)
-    inside = np.arange(rows.shape[1]) < lengths[:, None]
-    symbols[left > 0] = rows[inside].astype(np.int64) + 1
-
-    def later(x: np.ndarray, by: int) -> np.ndarray:
-        out = np.zeros(len(x), np.int64)
-        out[: len(x) - by] = x[by:]
-        out[left < by] = 0
-        return out
 
-    def ranked(x: np.ndarray) -> np.ndarray:
-        order = np.argsort(x, kind="stable")
-        new = np.concatenate([[0], np.cumsum(x[order][1:] != x[order][:-1])])
-        out = np.empty(len(x), np.int64)
-        out[order] = new + 1
+    def __init__(self, rows: np.ndarray, lengths: np.ndarray, least: np.ndarray):
+        ends = np.cumsum(lengths + 1)
+        n = int(ends[-1])
+        self.left = np.repeat(ends, lengths + 1) - np.arange(n) - 1  # bytes up to the piece's end
+        text = np.zeros(n + WIDTH, np.uint8)
+        text[np.flatnonzero(self.left)] = rows[np.arange(rows.shape[1]) < lengths[:, None]]
+        self.words = np.ndarray((n + WIDTH - 7,), "<u8", text.data, strides=(1,)).copy()
+        symbols = np.where(self.left > 0, text[:n].astype(np.int64) + 1, 0)
+
+        def later(x: np.ndarray, by: int) -> np.ndarray:
+            out = np.zeros(n, np.int64)
+            out[: max(n - by, 0)] = x[by:]
+            out[self.left < by] = 0
+            return out
+
+        def ranked(x: np.ndarray) -> np.ndarray:
+            order = np.argsort(x)
+            out = np.empty(n, np.int64)
+            out[order] = np.concatenate([[1], 1 + np.cumsum(x[order][1:] != x[order][:-1])])
+            return out
+
+        packed = np.zeros(n, np.int64)
+        for i in range(7):
+            packed = packed * 512 + later(symbols, i)
+        ranks, depth = {7: ranked(packed)}, 7
+        del packed
+        while depth < LONGEST + 1:
+            ranks[2 * depth] = ranked(ranks[depth] * (n + 2) + later(ranks[depth], depth))
+            depth *= 2
+        order = np.argsort(ranks[depth] * n + np.arange(n))  # equal suffixes: by place, as those that begin one byte before
+        bwt = np.concatenate([[0], symbols[:-1]])[order]
+        self.head = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
+        self.symbol = bwt[self.head]
+        tail = np.append(self.head[1:], n) - 1
+        self.at_head, self.at_tail, self.top = order[self.head], order[tail], order[0]
+        self.smaller = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=258))])  # suffixes with a lesser first symbol
+        by_symbol = np.argsort(self.symbol, kind="stable")
+        self.keys = self.symbol[by_symbol] * len(self.head) + by_symbol
+        lengths_so_far = np.cumsum((tail - self.head + 1)[by_symbol]) - (tail - self.head + 1)[by_symbol]
+        first_of = np.searchsorted(self.symbol[by_symbol], self.symbol[by_symbol])
+        self.before = np.empty(len(self.head), np.int64)
+        self.before[by_symbol] = lengths_so_far - lengths_so_far[first_of]
+
+        windows = np.stack([ranks[28], later(ranks[14], 28), later(ranks[7], 42), later(symbols, 49)])[:, order]
+        starts = np.flatnonzero(np.concatenate([[True], (windows[:, 1:] != windows[:, :-1]).any(axis=0)]))
+        lows = np.minimum.reduceat(np.repeat(least, lengths + 1)[order], starts)
+        self.low_at = np.empty(n, np.int64)
+        self.low_at[order] = np.repeat(lows, np.diff(np.append(starts, n)))
+
+    def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Bytes that the text has in common from positions a and b on, up to `most` and within the piece of b."""
+        most = np.minimum(most, self.left[b])
+        out = np.zeros(len(a), np.int64)
+        on = np.flatnonzero(most > 0)
+        while len(on):
+            differ = self.words[a[on] + out[on]] ^ self.words[b[on] + out[on]]
+            out[on] += np.where(differ == 0, 8, np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3).astype(np.int64)
+            on = on[(differ == 0) & (out[on] < most[on])]
+        return np.minimum(out, most)
+
+    def _jump(self, run: np.ndarray, symbol: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The nearest run of the wanted symbol, above or below, whose sampled end agrees longer: its run, row, place, length.
+
+        A length of -1: the index has no such symbol.
+        """
+        k = np.searchsorted(self.keys, symbol * len(self.head) + run)
+        above, below = np.maximum(k - 1, 0), np.minimum(k, len(self.keys) - 1)
+        runs = self.keys % len(self.head)
+        up, down = runs[above], runs[below]
+        has_up, has_down = (k > 0) & (self.symbol[up] == symbol), (k < len(self.keys)) & (self.symbol[down] == symbol)
+        size_up = np.where(has_up, self._common(at, self.at_tail[up], size), -1)
+        size_down = np.where(has_down, self._common(at, self.at_head[down], size), -1)
+        rise = size_up >= size_down
+        last = np.append(self.head[1:], len(self.left))[up] - 1
+        return np.where(rise, up, down), np.where(rise, last, self.head[down]), np.where(rise, self.at_tail[up], self.at_head[down]), np.maximum(size_up, size_down)
+
+    def stream(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """(piece, window) -> the least document of the index that has that window, NONE without one.
+
+        All pieces are read from their ends backwards, side by side. Of each, the longest match of what was read last is
+        known by its row, its place in the indexed text and its length: the matching statistics. A symbol that
+        continues the match is one step of the runs' mapping; another one jumps to a sampled run end first.
+        """
+        out = np.full((len(rows), SPREAD), NONE)
+        row, at, size = np.zeros(len(rows), np.int64), np.full(len(rows), self.top), np.zeros(len(rows), np.int64)
+        for back in range(1, int(lengths.max(initial=0)) + 1):
+            on = np.flatnonzero(lengths >= back)
+            symbol = rows[on, lengths[on] - back].astype(np.int64) + 1
+            r, a, m = row[on], at[on], size[on]
+            run = np.searchsorted(self.head, r, side="right") - 1
+            other = np.flatnonzero(self.symbol[run] != symbol)
+            if len(other):
+                run[other], r[other], a[other], m[other] = self._jump(run[other], symbol[other], a[other], m[other])
+            gone = m < 0
+            row[on] = np.where(gone, 0, self.smaller[symbol] + self.before[run] + r - self.head[run])
+            at[on], size[on] = np.where(gone, self.top, a - 1), m + 1
+            if back >= WINDOW:
+                hit = np.flatnonzero(m + 1 >= WINDOW)
+                out[on[hit], lengths[on[hit]] - back] = self.low_at[a[hit] - 1]
         return out
 
-    packed = np.zeros(total + u, np.int64)
-    for i in range(7):
-        packed = packed * 512 + later(symbols, i)
-    ranks, depth = {7: ranked(packed)}, 7
-    while depth < LONGEST + 1:
-        ranks[2 * depth] = ranked(ranks[depth] * (total + u + 2) + later(ranks[depth], depth))
-        depth *= 2
-    order = np.argsort(ranks[depth], kind="stable")  # equal suffixes: by piece, as their ends are
-    bwt = np.where(left[order] == lengths[piece[order]], 0, symbols[order - 1])
-    head = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
-    run_symbol, run_length = bwt[head], np.diff(np.append(head, len(bwt)))
-    before = np.empty(len(head), np.int64)  # equal symbols in earlier runs
-    by_symbol = np.argsort(run_symbol, kind="stable")
-    sums = np.cumsum(run_length[by_symbol]) - run_length[by_symbol]
-    first_of = np.searchsorted(run_symbol[by_symbol], run_symbol[by_symbol])
-    before[by_symbol] = sums - sums[first_of]
-    smaller = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=258))])  # suffixes with a lesser first symbol
-
-    # Samples: where the suffixes that agree for a window begin in rank order, and the least document of each interval.
-    r28, r14 = ranks[28], ranks[14]
-    keys = np.stack([r28, later(r14, 28), later(ranks[7], 42), later(symbols, 49)])[:, order]
-    starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
-    lows = np.minimum.reduceat(least[piece[order]], starts)
-
-    out = np.full((u, SPREAD), np.iinfo(np.int64).max)
-    row = np.arange(u)  # the pieces' ends come first in rank order, by piece
-    for back in range(1, int(lengths.max(initial=0)) + 1):
-        on = np.flatnonzero(lengths >= back)
-        run = np.searchsorted(head, row[on], side="right") - 1
-        row[on] = smaller[run_symbol[run]] + before[run] + row[on] - head[run]
-        if back >= WINDOW:
-            out[on, lengths[on] - back] = lows[np.searchsorted(starts, row[on], side="right") - 1]
-    return out
-
 
 def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(key, kind="stable")
     return order, np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else np.zeros(0, np.int64)
 
 
-def _shared(keys: np.ndarray, there: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """True where `there` and rows of the same key, each with a range from low to high, have more than one value."""
-    out = np.zeros(len(keys), bool)
+def _families(keys: np.ndarray, there: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of `there` and rows of the same key, each with documents from low to high: which may be earlier, which later than another."""
+    earlier, later = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
     at = np.flatnonzero(there)
     if len(at):
         order, starts = _groups(keys[at])
-        least, most = np.minimum.reduceat(low[at][order], starts), np.maximum.reduceat(high[at][order], starts)
-        out[at[order]] = np.repeat(least < most, np.diff(np.append(starts, len(at))))
-    return out
+        of = at[order]
+        n = np.diff(np.append(starts, len(at)))
+        earlier[of] = low[of] < np.repeat(np.maximum.reduceat(high[of], starts), n)
+        later[of] = high[of] > np.repeat(np.minimum.reduceat(low[of], starts), n)
+    return earlier, later
 
 
 def _side_keys(rows: np.ndarray, lengths: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -210,29 +265,31 @@ def _distinct(rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _marked(rows: np.ndarray, lengths: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(piece, least): for pieces of the documents from low to high, the least document of each window, if high is beyond any."""
-    keep = np.flatnonzero(np.any([_shared(k, there, low, high) for k, there in _side_keys(rows, lengths, place)], axis=0)) if len(rows) else np.zeros(0, np.int64)
-    rows, lengths, place, low, high = rows[keep], lengths[keep], place[keep], low[keep], high[keep]
-    if not len(keep):
-        return keep, np.zeros((0, SPREAD), np.int64)
+    """(piece, least): for pieces of the documents from low to high, the least document of each window, if high is beyond any.
+
+    Equal windows agree on 19 bytes before or after their anchor. Pieces that have a partner by these keys are indexed if
+    some of its documents are later than their own least, and streamed if some are earlier than their own last one.
+    """
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros((0, SPREAD), np.int64)
     order, starts, number = _distinct(rows, lengths)
-    own = np.minimum.reduceat(low[order], starts)
     one = order[starts]
-    # Only distinct pieces that share 31 bytes with another one need the index; for the rest their own copies tell all.
-    each = np.arange(len(one))
-    near = np.any([_shared(k, there, each, each) for k, there in _side_keys(rows[one], lengths[one], place[one])], axis=0)
-    least = np.repeat(own[:, None], SPREAD, axis=1)
-    if near.any():
-        least[near] = np.minimum(least[near], _index(rows[one[near]], lengths[one[near]], own[near]))
-    # A piece's windows that do not exist have their own copies' least document, so they are masked where pieces are read.
-    there = np.arange(SPREAD) < (lengths[one] - WINDOW + 1)[:, None]
-    lowest = np.where(there, least, np.iinfo(np.int64).max).min(axis=1)
-    some = np.flatnonzero(lowest[number] < high)
-    return keep[some], least[number[some]]
+    rows, lengths, low, last = rows[one], lengths[one], np.minimum.reduceat(low[order], starts), np.maximum.reduceat(high[order], starts)
+    sides = [_families(k, there, low, last) for k, there in _side_keys(rows, lengths, place[one])]
+    earlier, later = (np.flatnonzero(sides[0][i] | sides[1][i]) for i in (0, 1))
+    if not len(later):
+        return np.zeros(0, np.int64), np.zeros((0, SPREAD), np.int64)
+    index = RunIndex(rows[earlier], lengths[earlier], low[earlier])
+    least = index.stream(rows[later], lengths[later])
+    slot = np.full(len(one), -1)
+    slot[later] = np.arange(len(later))
+    some = np.flatnonzero(slot[number] >= 0)
+    some = some[least.min(axis=1)[slot[number[some]]] < high[some]]
+    return some, least[slot[number[some]]]
 
 
 def _spans(held: list[tuple[int, bytes]]) -> Iterator[np.ndarray]:
-    """Packed parts of whole anchors -> rows of (document, text hash, first, end) that earlier documents have.
+    """Packed parts of whole anchors -> rows of (document, text number, first, end) that earlier documents have.
 
     The parts stay packed. They are opened twice, some CHUNK pieces at a time: first to keep each chunk's distinct pieces
     with their range of documents, which alone are indexed; then to hold the pieces against the documents found.
@@ -289,7 +346,7 @@ def _spans(held: list[tuple[int, bytes]]) -> Iterator[np.ndarray]:
 
 
 def _joined(ids: np.ndarray, hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Windows' documents, text hashes and first bytes -> (document, text hash, first, end) of the stretches they cover."""
+    """Windows' documents, text numbers and first bytes -> (document, text number, first, end) of the stretches they cover."""
     order = np.lexsort((begin, hashes, ids))
     ids, hashes, begin = ids[order], hashes[order], begin[order]
     if not len(ids):
@@ -299,8 +356,8 @@ def _joined(ids: np.ndarray, hashes: np.ndarray, begin: np.ndarray) -> np.ndarra
     return np.stack([ids[first], hashes[first], begin[first], begin[last] + WINDOW], axis=1)
 
 
-def _dealt(docs: DataFrame, width: int) -> DataFrame:
-    """docs (id, th, text) -> one row per part of the input and target: its pieces, compressed."""
+def _dealt(docs: DataFrame, groups: int) -> DataFrame:
+    """docs (id, nth, text) -> one row per part of the input and group of anchors: its pieces, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,10 +367,10 @@ def _dealt(docs: DataFrame, width: int) -> DataFrame:
                 if not len(doc):
                     continue
                 padded = np.concatenate([data, np.zeros(WIDTH, np.uint8)])
-                target = (h % np.uint64(width)).astype(np.int64)
+                target = (h % np.uint64(groups)).astype(np.int64)
                 order = np.argsort(target, kind="stable")
                 ids, hashes = (part.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-                cuts = np.searchsorted(target[order], np.arange(width + 1))
+                cuts = np.searchsorted(target[order], np.arange(groups + 1))
                 out: list[list] = [[], [], []]
                 for t in np.flatnonzero(np.diff(cuts)):
                     at = order[cuts[t] : cuts[t + 1]]
@@ -323,7 +380,7 @@ def _dealt(docs: DataFrame, width: int) -> DataFrame:
                     new = np.concatenate([[True], d[1:] != d[:-1]])
                     local = start[at] - offsets[d]
                     step = np.where(new, local, np.diff(local, prepend=0))
-                    blob = _pack(length.astype("u1"), (place[at] - start[at]).astype("u1"), step.astype("<i4"), new.astype("u1"), _steps(ids[d[new]]), hashes[d[new]].astype("<u2"), rows[np.arange(WIDTH) < length[:, None]])
+                    blob = _pack(length.astype("u1"), (place[at] - start[at]).astype("u1"), step.astype("<i4"), new.astype("u1"), _steps(ids[d[new]]), hashes[d[new]].astype("<i4"), rows[np.arange(WIDTH) < length[:, None]])
                     out[0].append(t), out[1].append(len(at)), out[2].append(blob)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["target", "n", "pieces"])
         give_back()
@@ -338,58 +395,81 @@ def _anchor_hash(rows: np.ndarray, place: np.ndarray) -> np.ndarray:
     return _hash_rows(got)
 
 
-def _matched(dealt: DataFrame, width: int) -> DataFrame:
-    """(bucket, spans): per task and bucket of documents, the spans that earlier documents have, as far as its anchors show."""
+def _one_by_one(rows: DataFrame, by: str, width: int, more: str) -> DataFrame:
+    """rows dealt by the number `by`, each task's in its order, so that a task holds one number's rows at a time."""
+    dealt = rows.withColumn("__to", F.expr(f"CAST({by} % {width} AS INT)")).repartitionById(width, F.col("__to"))
+    return dealt.drop("__to").sortWithinPartitions(by, more)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple]]]:
+    """(number, rows of it) of rows that are sorted by their first column."""
+    return groupby((row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))), key=lambda row: row[0])
+
+
+def _matched(dealt: DataFrame, groups: int, width: int) -> DataFrame:
+    """(bucket, kind 0, spans): per task and bucket of documents, the spans that earlier documents have, as far as its anchors show."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(spans: np.ndarray) -> pa.RecordBatch:
-            bucket = _bucket(spans[:, 0], width)
+            bucket = _bucket(spans[:, 0], groups)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(width + 1))
-            some = np.flatnonzero(np.diff(cuts))
-            blobs = [_pack(np.ascontiguousarray(spans[order[cuts[b] : cuts[b + 1]]].T).astype("<i8")) for b in some]
-            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.ones(len(some), np.int32)), pa.array(blobs, pa.binary())], ["bucket", "kind", "data"])
+            some, first = np.unique(bucket[order], return_index=True)
+            blobs = [_pack(np.ascontiguousarray(spans[order[a:b]].T).astype("<i8")) for a, b in zip(first, np.append(first[1:], len(order)))]
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.zeros(len(some), np.int32)), pa.array(blobs, pa.binary())], ["bucket", "kind", "data"])
 
         ready: list[np.ndarray] = []
-        for spans in _spans([(n, blob) for batch in batches for n, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]):
-            ready.append(spans)
-            if sum(len(x) for x in ready) >= READY:
-                yield out(np.concatenate(ready))
-                ready = []
+        for _, held in _runs(batches):
+            for spans in _spans([(n, blob) for _, n, blob in held]):
+                ready.append(spans)
+                if sum(len(x) for x in ready) >= READY:
+                    yield out(np.concatenate(ready))
+                    ready = []
         if any(len(x) for x in ready):
             yield out(np.concatenate(ready))
         give_back()
 
-    return dealt.repartitionById(width, F.col("target")).mapInArrow(run, "bucket int, kind int, data binary")
+    return _one_by_one(dealt, "target", width, "n").mapInArrow(run, "bucket int, kind int, data binary")
 
 
 def _bucket(ids: np.ndarray, width: int) -> np.ndarray:
     return (_mix(ids.astype(np.int64).view(np.uint64) * MIX[0]) % np.uint64(width)).astype(np.int64)
 
 
-def _text_hash(text: str):
-    """Tells rows of one key with different texts apart (16 bits)."""
-    return F.hash(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(65535)
+def _measured(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
+    """(docs with id and nth first, bytes): nth numbers the different texts of one key (0 but for repeated keys).
 
-
-def _rows_by_bucket(docs: DataFrame, width: int) -> DataFrame:
-    """(bucket, 0, data): docs' rows, whose first two columns are key and text hash, dealt by key and compressed."""
+    Both come from one count over all rows. Texts of one key are told apart by 64 bits.
+    """
+    own = docs.select(F.col(key).cast("long").alias("__id"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("__th"), F.octet_length(text).alias("n"))
+    each = own.groupBy("__id").agg(F.min("__th").alias("a"), F.max("__th").alias("b"), F.sum("n").alias("n"))
+    total, many = each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.expr("__id IS NOT NULL AND a <> b"))).first()
+    rows = docs.select(F.col(key).cast("long").alias("__id"), *[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    if not many:
+        return rows.select("__id", F.lit(0).alias("__nth"), *rows.columns[1:]), total
+    again = own.join(each.where("a <> b").select("__id"), "__id", "left_semi").select("__id", "__th").distinct()
+    again = cut(again.withColumn("__nth", F.row_number().over(Window.partitionBy("__id").orderBy("__th")))).withColumnsRenamed({"__id": "__of", "__th": "__oth"})
+    at = f"c{docs.columns.index(text)}"
+    rows = rows.join(again, (F.col("__id") == F.col("__of")) & (F.xxhash64(F.coalesce(at, F.lit(""))) == F.col("__oth")), "left")
+    return rows.select("__id", F.coalesce("__nth", F.lit(0)).alias("__nth"), *rows.columns[1 : 1 + len(docs.columns)]), total
+
+
+def _rows_by_bucket(docs: DataFrame, groups: int) -> DataFrame:
+    """(bucket, 1, data): docs' rows, whose first two columns are key and text number, dealt by key and compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bucket = _bucket(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), width)
+            bucket = _bucket(batch.column(0).to_numpy(zero_copy_only=False), groups)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(width + 1))
-            some = np.flatnonzero(np.diff(cuts))
+            some, first = np.unique(bucket[order], return_index=True)
             blobs = []
-            for b in some:
+            for a, b in zip(first, np.append(first[1:], len(order))):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, batch.schema) as out:
-                    out.write_batch(batch.take(pa.array(order[cuts[b] : cuts[b + 1]])))
+                    out.write_batch(batch.take(pa.array(order[a:b])))
                 blobs.append(zstandard.compress(sink.getvalue(), 3))
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.zeros(len(some), np.int32)), pa.array(blobs, pa.binary())], ["bucket", "kind", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.ones(len(some), np.int32)), pa.array(blobs, pa.binary())], ["bucket", "kind", "data"])
 
     return docs.mapInArrow(run, "bucket int, kind int, data binary")
 
@@ -397,30 +477,36 @@ def _rows_by_bucket(docs: DataFrame, width: int) -> DataFrame:
 def _with_spans(docs: DataFrame, key: str, text: str, make, schema) -> DataFrame:
     """Rows of docs (all columns) meet their merged spans; make(batch, spans) gives the rows of `schema`.
 
-    Texts are dealt once, by key, in compressed parts; each task keeps its parts compressed until the spans are in.
+    Texts are dealt once, by key, in compressed parts; each task opens one bucket's parts at a time, after its spans.
+    The numbers of groups and tasks follow the bytes of all texts. Rows with a null key have no spans and stay where they are.
     """
-    width = shuffle_width(docs.sparkSession)
-    bare = docs.select(F.col(key).cast("long").alias("id"), _text_hash(text).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("id IS NOT NULL AND octet_length(text) >= 50")
-    spans = _matched(_dealt(bare, width), width)
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    whole = docs.select(F.col(key).cast("long").alias("__id"), _text_hash(text).alias("__th"), *[docs[c].alias(n) for c, n in zip(docs.columns, names)])
-    both = _rows_by_bucket(whole, width).unionByName(spans)
+    whole, total = _measured(docs, key, text)
+    width = max(shuffle_width(docs.sparkSession), min(ceil(total / SHARE), TASKS))
+    groups = max(width, min(ceil(total / SHARE), 1 << 20))
+    known, at = whole.where("__id IS NOT NULL"), f"c{docs.columns.index(text)}"
+    spans = _matched(_dealt(known.where(f"octet_length({at}) >= {WINDOW}").select("__id", "__nth", F.col(at).alias("text")), groups), groups, width)
+    both = _rows_by_bucket(known, groups).unionByName(spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs, found = [], {}
+        for _, parts in _runs(batches):
+            found: dict[tuple[int, int], list] = {}
+            for _, kind, data in parts:  # a bucket's spans come first
+                if not kind:
+                    for i, nth, a, b in np.frombuffer(zstandard.decompress(data), "<i8").reshape(4, -1).T.tolist():
+                        found.setdefault((i, nth), []).append((a, b))
+                    continue
+                for batch in pa.ipc.open_stream(zstandard.decompress(data)):
+                    own = [_merged(found.get(k, ())) for k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+                    yield make(pa.RecordBatch.from_arrays(batch.columns[2:], names=batch.schema.names[2:]), own)
+        give_back()
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for kind, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if kind:
-                    for i, h, a, b in np.frombuffer(zstandard.decompress(data), "<i8").reshape(4, -1).T.tolist():
-                        found.setdefault((i, h), []).append((a, b))
-                else:
-                    blobs.append(data)
-        while blobs:
-            for batch in pa.ipc.open_stream(zstandard.decompress(blobs.pop())):
-                own = [_merged(found.get(k, ())) for k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-                yield make(pa.RecordBatch.from_arrays(batch.columns[2:], names=names), own)
-
-    return both.repartitionById(width, F.col("bucket")).mapInArrow(run, schema)
+            if batch.num_rows:
+                yield make(batch, [[]] * batch.num_rows)
+
+    loose = whole.where("__id IS NULL").drop("__id", "__nth").mapInArrow(untouched, schema)
+    return _one_by_one(both, "bucket", width, "kind").mapInArrow(run, schema).unionByName(loose)
 
 
 def _merged(spans) -> list[tuple[int, int]]:
