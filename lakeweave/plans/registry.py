@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeweave.plans import bank, bank_costs, bank_results, lineage_graph, patterns
+from lakeweave.plans import bank, bank_costs, bank_positions, bank_results, catalogue, lineage_graph, patterns
 
-_MODULES = (lineage_graph, patterns, bank, bank_costs, bank_results)
+_MODULES = (lineage_graph, patterns, bank, bank_costs, bank_positions, bank_results, catalogue)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 SQL: dict[str, str] = {k: q for m in _MODULES for k, q in m.SQL.items()}

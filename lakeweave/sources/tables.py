@@ -55,5 +55,10 @@ DOMAINS = {
         Domain("orders", "orders", {"id": "o_orderkey", "actor": "o_custkey", "amount": f"CAST(o_totalprice AS {MONEY})", "ts": "o_orderdate", "status": "o_orderstatus", "category": "o_orderpriority"}, "customer", ("O", "P", "F"), 30 * 86400),
         Domain("shipments", "lineitem", {"id": "l_orderkey * 10 + l_linenumber", "actor": "l_suppkey", "amount": f"CAST(l_extendedprice AS {MONEY})", "ts": "l_shipdate", "status": "l_returnflag", "category": "l_linestatus"}, "supplier", ("N", "A", "R"), 7 * 86400),
         Domain("events", "events", {"id": "event_id", "actor": "user_id", "amount": f"CAST(value AS {MONEY})", "ts": "ts", "status": "event_type", "category": "event_type"}, "user", ("view", "click", "purchase"), 1800),
+        Domain("marketing", "orders", {"id": "o_orderkey", "actor": "o_custkey", "amount": f"CAST(o_totalprice AS {MONEY})", "ts": "o_orderdate", "status": "o_orderpriority", "category": "o_orderstatus"}, "customer", ("1-URGENT", "2-HIGH", "3-MEDIUM"), 14 * 86400),
+        Domain("ledger", "lineitem", {"id": "l_orderkey * 10 + l_linenumber", "actor": "l_suppkey", "amount": f"CAST(l_extendedprice AS {MONEY})", "ts": "l_shipdate", "status": "l_linestatus", "category": "l_returnflag"}, "supplier", ("O", "F", "P"), 3 * 86400),
+        Domain("payroll", "lineitem", {"id": "l_orderkey * 10 + l_linenumber", "actor": "l_suppkey", "amount": f"CAST(l_quantity AS {MONEY})", "ts": "l_shipdate", "status": "l_returnflag", "category": "CAST(l_linenumber AS STRING)"}, "supplier", ("R", "A", "N"), 5 * 86400),
+        Domain("tickets", "events", {"id": "event_id", "actor": "user_id", "amount": f"CAST(value AS {MONEY})", "ts": "ts", "status": "event_type", "category": "CAST(user_id % 4 AS STRING)"}, "user", ("signup", "error", "click"), 3600),
+        Domain("sensors", "events", {"id": "event_id", "actor": "user_id", "amount": f"CAST(value AS {MONEY})", "ts": "ts", "status": "CASE WHEN value > 10 THEN 'HOT' ELSE 'OK' END", "category": "event_type"}, "user", ("OK", "HOT", "OFF"), 7200),
     )
 }
