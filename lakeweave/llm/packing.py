@@ -7,18 +7,17 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.columns import slices, sums, word_codes
+from lakeweave.llm.columns import give_back, slices, sums, word_codes
 
 CAPACITY, END_ID = 4096, 2
 #: A remainder is cut until it falls into a class of at least so many pieces a sequence, which wastes at most 1/17.
 FINE = 16
-#: Bytes of text tokenised together; distinct words whose ids a worker remembers between such parts.
-PART, REMEMBERED = 4 << 20, 2_000_000
+#: Bytes of text tokenised together; distinct words whose ids a worker remembers between such parts, and learns at once.
+PART, REMEMBERED, LEARNED = 2 << 20, 1_000_000, 10_000
 SCHEMA = "{id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, class int"
 
 
@@ -48,25 +47,30 @@ class Tokens:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.lengths, self.flat = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.number: dict[str, int] = {}  # of each known word; its ids are flat[first[number] : first[number + 1]]
+        self.first, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _learn(self, words: list[str]) -> None:
+        got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        lengths = np.bincount(np.array(got.word_ids, np.int64), minlength=len(words))
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(lengths)])
+        self.flat = np.concatenate([self.flat, np.array(got.ids, np.uint32)])
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in a row, and each text's number of ids."""
         words, codes, offsets = word_codes(texts)
-        if len(self.known) + len(words) > REMEMBERED:
-            self.forget()
-        new = words.filter(pc.is_null(pc.index_in(words, self.known))) if len(self.known) else words
-        if len(new):
-            got = self.tokenizer.encode(new.to_pylist(), is_pretokenized=True, add_special_tokens=False)
-            self.known = pa.concat_arrays([self.known, new.cast(pa.string())])
-            self.lengths = np.concatenate([self.lengths, np.bincount(np.array(got.word_ids, np.int64), minlength=len(new))])
-            self.flat = np.concatenate([self.flat, np.array(got.ids, np.uint32)])
         if not len(words):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        word = pc.index_in(words, self.known).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
-        first = np.cumsum(self.lengths) - self.lengths
-        n = self.lengths[word]
-        at = np.repeat(first[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        if len(self.number) + len(words) > REMEMBERED:
+            self.forget()
+        words = words.to_pylist()
+        new = [w for w in words if w not in self.number]
+        for at in range(0, len(new), LEARNED):
+            self._learn(new[at : at + LEARNED])
+        word = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))[codes]
+        n = self.first[word + 1] - self.first[word]
+        at = np.repeat(self.first[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         return self.flat[at], sums(n, offsets)
 
 
@@ -143,5 +147,6 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
                     yield rows(found)
         if schema and (found := list(bins.rest())):
             yield rows(found)
+        give_back()
 
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA.format(id=f"id {kind}")).withColumnRenamed("id", key)
