@@ -33,7 +33,7 @@ PART, STRETCH = 4 << 20, 1 << 19
 #: Bytes of all texts for each group of anchors (of which a task works on one at a time) and bucket of documents; tasks at most.
 SHARE, TASKS = 8 << 20, 20_000
 #: Pieces whose anchors, windows and index are worked on at once in a task.
-GROUP = 20_000
+GROUP = 6_000
 NONE = np.iinfo(np.int64).max
 #: Pieces whose repeats are folded at once before that, and spans that are sent off together.
 CHUNK, READY = 30_000, 500_000

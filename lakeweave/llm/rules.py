@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.columns import slices, sums, utf8, word_codes
+from lakeweave.llm.columns import give_back, slices, sums, utf8, word_codes
 
 #: A repeat counts towards the covered share from so many words on; the share of a text's words, in hundredths, that such
 #: repeats may cover. Both are the published limits of repeated 8-grams in web text.
@@ -161,6 +161,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", min_repeat:
         for batch in batches:
             for part in slices(batch, "text", PART):
                 yield _statistics(part, min_repeat)
+        give_back()
 
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA.format(id=f"id {kind}")).withColumnRenamed("id", key)
 
@@ -177,5 +178,6 @@ def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             for part in slices(batch, text, PART):
                 bare = pa.RecordBatch.from_arrays([pa.array(np.arange(part.num_rows)), part.column(text)], ["id", "text"])
                 yield part.filter(_statistics(bare, MIN_REPEAT).column("kept"))
+        give_back()
 
     return docs.mapInArrow(run, schema)
