@@ -7,9 +7,11 @@ a day is the sum of its lines of that day.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakeweave.functions.columns import FOREVER, valid_on
+from lakeweave.operators.cut import cut
 from lakeweave.plans.bank import _rows, _values
 from lakeweave.sources.tables import MONEY, table
 
@@ -20,7 +22,7 @@ INDEXES = [("LIBID", 0.03, 0.001), ("BASE", 0.04, -0.002)]
 BASES = [(0, 365), (1, 360), (2, 360), (3, 365)]
 POINTS = [(p, m, round(0.01 + 0.0005 * m + 0.001 * p, 6)) for p in range(1, 6) for m in (1, 3, 6, 12)]
 REPORT = [("ECONOMY", "1.a", "Construction"), ("STANDARD", "2", "Depository institutions"), ("PROMO", "4", "Commercial"), ("SMALL", "6", "Individuals"), ("LARGE", "9", "Other")]
-DAYS, OVERDUE, FOREIGN, FOREVER = 30, 90, 5, "9999-12-31"
+DAYS, OVERDUE, FOREIGN, LEVELS = 30, 90, 5, 8
 QUERIES, SQL = {}, {}
 
 
@@ -42,11 +44,6 @@ def _add(sql: str):
     return keep
 
 
-def _valid(day: Column, start: str, end: str) -> Column:
-    """A row that holds on that day; without an end it holds for ever."""
-    return day.between(F.col(start), F.coalesce(F.col(end), F.lit(FOREVER).cast("date")))
-
-
 def positions(spark: SparkSession, d: str) -> DataFrame:
     """(day, account, product, branch, principal, average, accrued, overdue, status, reprice, rate) of accounts open on the day."""
     price = F.col("l_extendedprice").cast(MONEY)
@@ -92,7 +89,7 @@ def loan_income(spark: SparkSession, d: str) -> DataFrame:
     reversal when that begins."""
     s = _rows(spark, SPREADS, "of int, index_code string, bps int, start string, until string").withColumns({"start": F.col("start").cast("date"), "until": F.col("until").cast("date")})
     p = positions(spark, d).withColumn("before", F.lag("status").over(Window.partitionBy("account").orderBy("day")))
-    p = p.join(_rows(spark, BASES, "product int, basis int"), "product").join(F.broadcast(s), (F.col("product") == F.col("of")) & _valid(F.col("day"), "start", "until"), "left")
+    p = p.join(_rows(spark, BASES, "product int, basis int"), "product").join(F.broadcast(s), (F.col("product") == F.col("of")) & valid_on(F.col("day"), "start", "until"), "left")
     p = p.join(_rows(spark, INDEXES, "index_code string, opened double, change double"), "index_code", "left")
     index = F.col("opened") + F.col("change") * (F.year("day") - 1995) + F.col("bps") / F.lit(10000.0)
     p = p.withColumn("effective", F.coalesce(index, F.col("rate")))
@@ -150,3 +147,29 @@ def call_report(spark: SparkSession, d: str) -> DataFrame:
     l = l.join(_rows(spark, REPORT, "class string, line_item string, line_description string"), "class").withColumn("principal", F.col("l_extendedprice").cast(MONEY))  # noqa: E741
     part = lambda c: F.sum(F.when(c, F.col("principal")).otherwise(0)).cast("double")
     return l.groupBy("line_item", "line_description").agg(part(F.col("domestic")).alias("domestic_amount"), part(~F.col("domestic")).alias("foreign_amount"), F.sum("principal").cast("double").alias("total_amount"), F.countDistinct("l_orderkey").alias("loan_count"))
+
+
+@_add("""WITH RECURSIVE node AS (SELECT 'r' || r_regionkey AS id, NULL::VARCHAR AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
+tree AS (SELECT id, id AS root, 0 AS level FROM node WHERE parent IS NULL UNION ALL SELECT n.id, tree.root, tree.level + 1 FROM tree JOIN node n ON n.parent = tree.id WHERE tree.level + 1 < 8),
+direct AS (SELECT 's' || l_suppkey AS id, sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2))) AS revenue FROM lineitem GROUP BY 1),
+x AS (SELECT tree.*, revenue FROM tree LEFT JOIN direct USING (id))
+SELECT a.id AS node_id, a.root AS root_id, CAST(a.level AS INTEGER) AS node_level, CAST(max(a.revenue) AS DOUBLE) AS direct_revenue, CAST(coalesce(sum(b.revenue), 0) AS DOUBLE) AS rolled_revenue FROM x a JOIN x b ON b.root = a.root AND b.level >= a.level GROUP BY 1, 2, 3""")
+def segment_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """A walk down the organisation, eight levels at most; each node rolls up all of its root's nodes from its level down.
+
+    Nodes pair with sums by root and level, not with each other, so that a wide level does not multiply.
+    """
+    node = lambda name, mark, key, up, parent: table(spark, d, name).select(F.concat(F.lit(mark), F.col(key).cast("string")).alias("id"), (F.concat(F.lit(up), F.col(parent).cast("string")) if parent else F.lit(None).cast("string")).alias("parent"))
+    nodes = node("region", "r", "r_regionkey", "", "").unionByName(node("nation", "n", "n_nationkey", "r", "n_regionkey")).unionByName(node("supplier", "s", "s_suppkey", "n", "s_nationkey"))
+    frontier = nodes.where("parent IS NULL").select("id", F.col("id").alias("root"), F.lit(0).alias("level"))
+    tree = frontier
+    for level in range(1, LEVELS):
+        frontier = cut(nodes.join(frontier.select(F.col("id").alias("parent"), "root"), "parent").select("id", "root", F.lit(level).alias("level")))
+        if frontier.isEmpty():
+            break
+        tree = tree.unionByName(frontier)
+    direct = table(spark, d, "lineitem").groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("id")).agg(F.sum(F.col("l_extendedprice").cast(MONEY) * F.col("l_discount").cast("decimal(4,2)")).alias("revenue"))
+    x = tree.join(direct, "id", "left")
+    held = x.groupBy("root", "level").agg(F.sum("revenue").alias("held"))  # levels by roots
+    below = held.alias("a").join(held.alias("b"), (F.col("a.root") == F.col("b.root")) & (F.col("b.level") >= F.col("a.level"))).groupBy("a.root", "a.level").agg(F.sum("b.held").alias("rolled"))
+    return x.join(F.broadcast(below), ["root", "level"]).select(F.col("id").alias("node_id"), F.col("root").alias("root_id"), F.col("level").alias("node_level"), F.col("revenue").cast("double").alias("direct_revenue"), F.coalesce("rolled", F.lit(0)).cast("double").alias("rolled_revenue"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakeweave.functions.columns import contains, like
 from lakeweave.operators import graph
 from lakeweave.operators.cut import cut
 from lakeweave.sources import metadata as M
@@ -117,14 +118,6 @@ def sql_examples_page(spark: SparkSession, d: str) -> DataFrame:
     return rows.orderBy(*_ORDER).offset(PAGE * (min(max(SHOWN, 1), pages) - 1)).limit(PAGE)
 
 
-def contains(needle: str, *columns: str) -> Column:
-    """A row of which one of the columns has the needle in it, whatever the case; signs of patterns count as themselves."""
-    found = F.lit(False)
-    for c in columns:
-        found = found | F.lower(F.coalesce(F.col(c), F.lit(""))).contains(needle.lower())
-    return found
-
-
 @_add(f"SELECT * FROM ({_EXAMPLES}) WHERE (contains(lower(task_name), 'src_') OR contains(lower(sql), 'src_') OR contains(lower(job_name), 'src_')) AND domain = 'd1'")
 def search_examples(spark: SparkSession, d: str) -> DataFrame:
     """Examples of one domain that have a text in their name, job or SQL."""
@@ -133,7 +126,7 @@ def search_examples(spark: SparkSession, d: str) -> DataFrame:
 
 def find_job(jobs: DataFrame, needle: str) -> DataFrame:
     """The first job, by name and key, whose name has the needle in it; _ and % in it stand for any letter and any letters."""
-    return jobs.where(F.col("name").ilike(f"%{needle}%")).orderBy("name", "job_id").limit(1)
+    return jobs.where(like(needle, "name")).orderBy("name", "job_id").limit(1)
 
 
 @_add(f"SELECT job_id, name FROM job WHERE name ILIKE '%{NEEDLE}%' ORDER BY name, job_id LIMIT 1")
@@ -185,10 +178,9 @@ def quality(spark: SparkSession, d: str) -> DataFrame:
 def touching(tasks: DataFrame, jobs: DataFrame, dependencies: DataFrame, name: str, exec_type: str = "") -> DataFrame:
     """(task_id, job_name, task_name, exec_type, declared): tasks that declare a table like `name`, then those whose source
     has it in it; a task that does both is listed once, as the first."""
-    like = f"%{name}%"
     t = tasks.where(F.col("exec_type") == exec_type) if exec_type else tasks
-    declared = t.join(dependencies.where(F.col("depends_on_table").ilike(like)).select("task_id").distinct(), "task_id", "left_semi").withColumn("declared", F.lit(True))
-    both = declared.unionByName(t.where(F.col("source_code").ilike(like)).withColumn("declared", F.lit(False)))
+    declared = t.join(dependencies.where(like(name, "depends_on_table")).select("task_id").distinct(), "task_id", "left_semi").withColumn("declared", F.lit(True))
+    both = declared.unionByName(t.where(like(name, "source_code")).withColumn("declared", F.lit(False)))
     first = Window.partitionBy("task_id").orderBy(F.col("declared").desc())  # two rows at most
     both = both.withColumn("rn", F.row_number().over(first)).where("rn = 1")
     return both.join(F.broadcast(jobs.select("job_id", F.col("name").alias("job_name"))), "job_id").select("task_id", "job_name", F.col("name").alias("task_name"), "exec_type", "declared")
