@@ -7,6 +7,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ CAPACITY, END_ID = 4096, 2
 #: A remainder is cut until it falls into a class of at least so many pieces a sequence, which wastes at most 1/17.
 FINE = 16
 #: Bytes of text tokenised together; distinct words whose ids a worker remembers between such parts, and learns at once.
-PART, REMEMBERED, LEARNED = 2 << 20, 1_000_000, 10_000
+PART, REMEMBERED, LEARNED = 4 << 20, 1_000_000, 10_000
 SCHEMA = "{id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, class int"
 
 
@@ -47,28 +48,34 @@ class Tokens:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}  # of each known word; its ids are flat[first[number] : first[number + 1]]
+        self.known = pa.array([], pa.string())  # the ids of word i are flat[first[i] : first[i + 1]]
         self.first, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def _learn(self, words: list[str]) -> None:
-        got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        lengths = np.bincount(np.array(got.word_ids, np.int64), minlength=len(words))
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(lengths)])
-        self.flat = np.concatenate([self.flat, np.array(got.ids, np.uint32)])
+    def _learn(self, words: pa.Array) -> None:
+        """Ids of new words, encoded some at a time as the tokenizer's own records are large."""
+        lengths, flat = [], []
+        for at in range(0, len(words), LEARNED):
+            some = words[at : at + LEARNED]
+            got = self.tokenizer.encode(some.to_pylist(), is_pretokenized=True, add_special_tokens=False)
+            lengths.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(some)))
+            flat.append(np.array(got.ids, np.uint32))
+        self.known = pa.concat_arrays([self.known, words.cast(pa.string())])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(lengths))])
+        self.flat = np.concatenate([self.flat, *flat])
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in a row, and each text's number of ids."""
         words, codes, offsets = word_codes(texts)
         if not len(words):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        if len(self.number) + len(words) > REMEMBERED:
+        if len(self.known) + len(words) > REMEMBERED:
             self.forget()
-        words = words.to_pylist()
-        new = [w for w in words if w not in self.number]
-        for at in range(0, len(new), LEARNED):
-            self._learn(new[at : at + LEARNED])
-        word = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))[codes]
+        number = pc.index_in(words, self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(number < 0)
+        number[new] = len(self.known) + np.arange(len(new))
+        if len(new):
+            self._learn(words.take(pa.array(new)))
+        word = number[codes]
         n = self.first[word + 1] - self.first[word]
         at = np.repeat(self.first[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         return self.flat[at], sums(n, offsets)

@@ -36,7 +36,7 @@ SHARE, TASKS = 8 << 20, 20_000
 GROUP = 6_000
 NONE = np.iinfo(np.int64).max
 #: Pieces whose repeats are folded at once before that, and spans that are sent off together.
-CHUNK, READY = 30_000, 500_000
+CHUNK, READY = 15_000, 100_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 

@@ -19,7 +19,7 @@ MIN_REPEAT, MAX_COVERED = 8, 12
 LONGEST_SHARE, LONGEST_RANGE = 20, (8, 100)
 SYMBOLS = b"#*$%&|<>"
 #: Bytes of text whose suffixes are sorted together; a longer single text is sorted alone.
-PART = 4 << 20
+PART = 1 << 20
 SCHEMA = "{id}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_covered_words long, longest_repeat long, repeat_spans array<struct<first: int, words: int>>, base_failed boolean, too_covered boolean, too_long boolean, kept boolean"
 
 
