@@ -55,22 +55,21 @@ def graph_has_cycle(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.create_map(*[F.lit(x) for x in ("as it is", graph.has_cycle(_edges(spark, d)), "bent back", graph.has_cycle(_bent(spark, d)))])).alias("graph", "has_cycle"))
 
 
-def _paths(spark: SparkSession, d: str, root: str, forward: bool) -> DataFrame:
-    """Recursive SQL over paths: one row for each distinct depth at which a node is met.
+def downstream(links: DataFrame, root: str, max_depth: int) -> DataFrame:
+    """(node_id, depth) by recursive SQL over paths: one row for each distinct depth at which a node is met.
 
-    It meets a node once a path, as the statement it stands for does; `reach` is the way for wide graphs.
+    It walks every path, as the statement it stands for does; `reach` is the way for wide graphs.
     """
-    e = _edges(spark, d).where("NOT startswith(src, 'dataset:')") if not forward else _edges(spark, d)
-    a, b = ("src", "dst") if forward else ("dst", "src")
-    return spark.sql(f"WITH RECURSIVE r(node_id, depth) AS (SELECT :root, 0 UNION ALL SELECT e.{b}, r.depth + 1 FROM r JOIN {{links}} e ON e.{a} = r.node_id WHERE r.depth < :most) SELECT DISTINCT node_id, depth FROM r WHERE depth > 0", args={"root": root, "most": DEPTH}, links=e)
+    text = "WITH RECURSIVE r(node_id, depth) AS (SELECT :root, 0 UNION ALL SELECT e.dst, r.depth + 1 FROM r JOIN {links} e ON e.src = r.node_id WHERE r.depth < :most) SELECT DISTINCT node_id, depth FROM r WHERE depth > 0"
+    return links.sparkSession.sql(text, args={"root": root, "most": max_depth}, links=links)
 
 
 def graph_downstream_paths(spark: SparkSession, d: str) -> DataFrame:
-    return _paths(spark, d, ROOT, True)
+    return downstream(_edges(spark, d), ROOT, DEPTH)
 
 
 def graph_upstream_paths(spark: SparkSession, d: str) -> DataFrame:
-    return _paths(spark, d, TASK, False)
+    return downstream(graph.reversed_links(_edges(spark, d).where("NOT startswith(src, 'dataset:')")), TASK, DEPTH)
 
 
 _EDGES = """WITH RECURSIVE o AS (SELECT o_orderkey, c_mktsegment, lag(o_orderkey) OVER w AS prev, lag(o_orderkey, 2) OVER w AS prev2 FROM orders JOIN customer ON o_custkey = c_custkey WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
