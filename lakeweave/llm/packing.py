@@ -17,8 +17,9 @@ from lakeweave.llm.columns import give_back, slices, sums, word_codes
 CAPACITY, END_ID = 4096, 2
 #: A remainder is cut until it falls into a class of at least so many pieces a sequence, which wastes at most 1/17.
 FINE = 16
-#: Bytes of text tokenised together; distinct words whose ids a worker remembers between such parts, and learns at once.
-PART, REMEMBERED, LEARNED = 4 << 20, 1_000_000, 10_000
+#: Bytes of text tokenised together; distinct words whose ids a worker remembers between such parts, and learns at once;
+#: those met less often than OFTEN do not outlast a task.
+PART, REMEMBERED, LEARNED, OFTEN = 2 << 20, 500_000, 10_000, 4
 SCHEMA = "{id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, class int"
 
 
@@ -50,6 +51,14 @@ class Tokens:
     def forget(self) -> None:
         self.known = pa.array([], pa.string())  # the ids of word i are flat[first[i] : first[i + 1]]
         self.first, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.seen = np.zeros(0, np.int64)  # how often, halved at each trim
+
+    def trim(self) -> None:
+        """Only words that are met again and again are kept."""
+        kept = np.flatnonzero(self.seen >= OFTEN)
+        n = np.diff(self.first)[kept]
+        at = np.repeat(self.first[kept] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        self.known, self.flat, self.first, self.seen = self.known.take(pa.array(kept)), self.flat[at], np.concatenate([[0], np.cumsum(n)]), self.seen[kept] // 2
 
     def _learn(self, words: pa.Array) -> None:
         """Ids of new words, encoded some at a time as the tokenizer's own records are large."""
@@ -62,12 +71,15 @@ class Tokens:
         self.known = pa.concat_arrays([self.known, words.cast(pa.string())])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(lengths))])
         self.flat = np.concatenate([self.flat, *flat])
+        self.seen = np.concatenate([self.seen, np.zeros(len(words), np.int64)])
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in a row, and each text's number of ids."""
         words, codes, offsets = word_codes(texts)
         if not len(words):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        if len(self.known) + len(words) > REMEMBERED:
+            self.trim()
         if len(self.known) + len(words) > REMEMBERED:
             self.forget()
         number = pc.index_in(words, self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -76,6 +88,7 @@ class Tokens:
         if len(new):
             self._learn(words.take(pa.array(new)))
         word = number[codes]
+        self.seen += np.bincount(word, minlength=len(self.known))
         n = self.first[word + 1] - self.first[word]
         at = np.repeat(self.first[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         return self.flat[at], sums(n, offsets)
@@ -154,6 +167,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
                     yield rows(found)
         if schema and (found := list(bins.rest())):
             yield rows(found)
+        tokens.trim()
         give_back()
 
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA.format(id=f"id {kind}")).withColumnRenamed("id", key)
