@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeweave.llm import decontaminate, html, packing, passages, quality, rules, sharding, simhash, toxicity, urls
+from lakeweave.llm import decontaminate, html, packing, passages, periodic, quality, rules, sharding, simhash, toxicity, urls
 from lakeweave.llm.columns import table
 from lakeweave.llm.labelled import held_out
 
@@ -66,7 +66,17 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_simhash, op4_urls, op5_html, op6_passages, op7_decontaminate, op8_packing, op9_sharding, op10_rules)}
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.runs(periodic.repeated_tails(table(spark, sf_dir, "documents")))
+    found = found.withColumn("top", F.expr("array_max(transform(runs, r -> struct(r.length AS length, -r.start AS start, -r.period AS period)))"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.start")).alias("start"), F.col("top.length").alias("length"), (-F.col("top.period")).alias("period"),
+        F.expr("1000 * top.length div -top.period").alias("exponent_milli"),
+        F.expr(r"sha2(array_join(transform(runs, r -> concat(concat_ws(',', r.start, r.length, r.period), '\n')), ''), 256)").alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_simhash, op4_urls, op5_html, op6_passages, op7_decontaminate, op8_packing, op9_sharding, op10_rules, op13_periodic_runs)}
 
 _SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _BENCH_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
