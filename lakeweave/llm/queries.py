@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeweave.llm import decontaminate, html, packing, passages, periodic, quality, rules, sharding, simhash, toxicity, urls
+from lakeweave.llm import decontaminate, html, packing, passages, periodic, quality, rules, sharding, simhash, toxicity, urls, winnowing
 from lakeweave.llm.columns import table
 from lakeweave.llm.labelled import held_out
 
@@ -66,6 +66,14 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.compared(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.expr(winnowing.digest_sql("picks")).alias("fingerprint"),
+        F.expr(winnowing.digest_sql("edited_picks")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic.runs(periodic.repeated_tails(table(spark, sf_dir, "documents")))
     found = found.withColumn("top", F.expr("array_max(transform(runs, r -> struct(r.length AS length, -r.start AS start, -r.period AS period)))"))
@@ -76,7 +84,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_simhash, op4_urls, op5_html, op6_passages, op7_decontaminate, op8_packing, op9_sharding, op10_rules, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_simhash, op4_urls, op5_html, op6_passages, op7_decontaminate, op8_packing, op9_sharding, op10_rules, op11_winnowing, op13_periodic_runs)}
 
 _SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _BENCH_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
