@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeweave.llm import decontaminate, html, packing, passages, periodic, quality, rules, sharding, simhash, toxicity, urls, winnowing
+from lakeweave.llm import decontaminate, html, packing, passages, periodic, quality, rules, sharding, simhash, toxicity, urls, variants, winnowing
 from lakeweave.llm.columns import table
 from lakeweave.llm.labelled import held_out
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: One run in so many loses a letter in op12, as its contract says.
+ERRATA = 199
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
 
 
@@ -74,6 +76,10 @@ def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"), errata=ERRATA)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic.runs(periodic.repeated_tails(table(spark, sf_dir, "documents")))
     found = found.withColumn("top", F.expr("array_max(transform(runs, r -> struct(r.length AS length, -r.start AS start, -r.period AS period)))"))
@@ -84,7 +90,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_simhash, op4_urls, op5_html, op6_passages, op7_decontaminate, op8_packing, op9_sharding, op10_rules, op11_winnowing, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_simhash, op4_urls, op5_html, op6_passages, op7_decontaminate, op8_packing, op9_sharding, op10_rules, op11_winnowing, op12_spelling_variants, op13_periodic_runs)}
 
 _SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _BENCH_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
