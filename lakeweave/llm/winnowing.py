@@ -12,8 +12,8 @@ GRAM, WINDOW = 12, 16
 REACH = GRAM + WINDOW - 1
 #: Windows whose grams are held at once (a gram's place among them must fit the 12 low bits of its number).
 STRETCH = 1024
-#: Neighbouring keys that are kept together, and hashes by which rows without a key are dealt.
-BLOCK, SPREAD = 256, 1 << 16
+#: Low bits of neighbouring keys that are kept together, the block of rows without a key, and hashes by which these are dealt.
+BLOCK_BITS, NO_KEY, SPREAD = 8, -(1 << 60), 1 << 16
 
 
 def _windows(n: str) -> str:
@@ -79,10 +79,9 @@ def _next_blocks(blocks: DataFrame) -> DataFrame:
 
     Blocks are dealt out by ranges; what joins the ranges is one row for each of them.
     """
-    ranged = cut(blocks.repartitionByRange(shuffle_width(blocks.sparkSession), F.col("b").asc_nulls_first(), "c").withColumn("part", F.spark_partition_id()))
-    order = [F.col("b").asc_nulls_first(), F.col("c")]
-    inside = ranged.withColumn("next", F.lead(F.struct("b", "c")).over(Window.partitionBy("part").orderBy(*order)))
-    parts = ranged.groupBy("part").agg(F.min_by(F.struct("b", "c"), F.struct(F.col("b").isNotNull(), "b", "c")).alias("first"))  # at most one row for each shuffle partition
+    ranged = cut(blocks.repartitionByRange(shuffle_width(blocks.sparkSession), "b", "c").withColumn("part", F.spark_partition_id()))
+    inside = ranged.withColumn("next", F.lead(F.struct("b", "c")).over(Window.partitionBy("part").orderBy("b", "c")))
+    parts = ranged.groupBy("part").agg(F.min_by(F.struct("b", "c"), F.struct("b", "c")).alias("first"))  # at most one row for each shuffle partition
     ring = Window.orderBy("part")
     parts = parts.select("part", F.coalesce(F.lead("first").over(ring), F.first("first").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("then"))
     joined = inside.join(F.broadcast(parts), "part").withColumn("next", F.coalesce("next", "then"))
@@ -104,7 +103,8 @@ def compared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """
     kind = docs.schema[key].dataType
     own = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    own = own.withColumns({"b": F.expr(f"(id - pmod(id, {BLOCK})) div {BLOCK}"), "c": F.when(F.col("id").isNull(), F.pmod(F.xxhash64("t"), F.lit(SPREAD))).otherwise(0)})
+    # Not nullable, so that the dealt texts serve both uses below.
+    own = own.withColumns({"b": F.expr(f"coalesce(shiftright(id, {BLOCK_BITS}), {NO_KEY})"), "c": F.when(F.col("id").isNull(), F.coalesce(F.pmod(F.xxhash64("t"), F.lit(SPREAD)), F.lit(0))).otherwise(0)})
     chain = _next_blocks(own.select("b", "c").distinct())
     dealt = own.repartition(shuffle_width(docs.sparkSession), "b", "c")
     inside = Window.partitionBy("b", "c").orderBy("id", "t")
@@ -112,8 +112,8 @@ def compared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     marked = marked.withColumn("then", F.lead(F.struct("t", "n", "p")).over(inside))
     firsts = dealt.groupBy("b", "c").agg(F.min_by("t", F.struct("id", "t")).alias("t"))
     firsts = firsts.select(F.col("b").alias("nb"), F.col("c").alias("nc"), F.struct("t", F.length("t").alias("n"), F.expr(picks_sql("t")).alias("p")).alias("other"))
-    heads = chain.join(firsts, chain["nb"].eqNullSafe(firsts["nb"]) & (chain["nc"] == firsts["nc"])).select(F.col("b").alias("ob"), F.col("c").alias("oc"), "other")
-    met = marked.join(heads, F.col("b").eqNullSafe(F.col("ob")) & (F.col("c") == F.col("oc")) & F.col("then").isNull(), "left")
+    heads = chain.join(firsts, ["nb", "nc"]).select(F.col("b").alias("ob"), F.col("c").alias("oc"), "other")
+    met = marked.join(heads, (F.col("b") == F.col("ob")) & (F.col("c") == F.col("oc")) & F.col("then").isNull(), "left")
     met = met.select("id", "t", "n", "p", F.coalesce("then", "other").alias("o"))
     met = met.withColumns({"h": F.expr("n - n div 2"), "m": F.expr("least(n div 2, o.n)")})
     edited = "concat(substring(t, 1, h), substring(o.t, 1, m))"
