@@ -57,20 +57,44 @@ def test_intents():
     assert questions.intent("health of the load job") == ("get_job_health_summary", {"job_name": "load"}) and questions.intent("hello") is None
 
 
+@pytest.mark.parametrize(
+    "question, tool, arguments",
+    [
+        ("If etl-main job fails?", "get_blast_radius", {"job_name": "etl-main"}),
+        ("and what if The Load job FAILS", "get_blast_radius", {"job_name": "Load"}),
+        ("root cause of the x_1 job, please", "get_rca", {"job_name": "x_1"}),
+        ("rca for x job; health of the y job", "get_rca", {"job_name": "x"}),
+        ("if the a job fails, why did the b job?", "get_blast_radius", {"job_name": "a"}),
+        ("which notebook job that touched raw.a-b table.", "find_jobs_touching_table", {"table_name": "raw.a-b", "exec_type": "NOTEBOOK", "lookback_days": 30}),
+        ("scala jobs that touched the t table", "find_jobs_touching_table", {"table_name": "t", "exec_type": "", "lookback_days": 30}),
+        ("This week: python jobs that touched the the table", "find_jobs_touching_table", {"table_name": "the", "exec_type": "PYTHON", "lookback_days": 7}),
+        ("status of load job", "get_job_health_summary", {"job_name": "load"}),
+        ("SLA of the load job", "get_job_health_summary", {"job_name": "load"}),
+    ],
+)
+def test_forms_of_questions(question, tool, arguments):
+    assert questions.intent(question) == (tool, arguments)
+
+
+@pytest.mark.parametrize("question", ["", "if job fails", "health of load", "jobs that touched table", "why did it fail"])
+def test_what_fits_no_form(question):
+    assert questions.intent(question) is None
+
+
 def test_answers(spark, tiny):
     said = questions.answer(spark, tiny, "What if the report_nation_1 job fails?")
     assert said["tool_calls"][0]["result"]["root_job"].endswith("nation_1") and said["answer"]
     touched = questions.answer(spark, tiny, "jobs that touched raw.src_1 table")
-    assert touched["tool_calls"][0]["result"]["jobs"] and "touched 'raw.src_1'" in touched["answer"]
+    result = touched["tool_calls"][0]["result"]
+    assert result["jobs"] and result["total"] == len(result["jobs"]) and "touch raw.src_1: " in touched["answer"]
     assert questions.answer(spark, tiny, "health of the nation_2 job")["tool_calls"][0]["result"]["runs_considered"] == 20
-    assert questions.answer(spark, tiny, "rca for nothing job")["answer"] == "No upstream root-cause candidates found for None."
-    assert questions.answer(spark, tiny, "status of nothing job")["answer"] == "No job found matching 'nothing'"
-    assert questions.answer(spark, tiny, "hello")["tool_calls"] == []
+    assert questions.answer(spark, tiny, "rca for nothing job")["tool_calls"][0]["result"] == {"job": None, "root_cause_candidates": [], "total": 0}
+    assert questions.answer(spark, tiny, "status of nothing job")["answer"] == "There is no job like nothing."
+    assert questions.answer(spark, tiny, "hello")["tool_calls"] == [] and questions.ask(spark, tiny, "hello") is None
     ran = {f"job-{r.user_id % 25}" for r in spark.read.parquet(f"{tiny}/events.parquet").collect()}
     names = {r["name"] for r in metadata.jobs(spark, tiny).collect() if r["job_id"] in ran}
-    since = questions.find_jobs_touching_table(spark, tiny, "src_", lookback_days=1000, ran_since=True)["jobs"]
-    every = questions.find_jobs_touching_table(spark, tiny, "src_")["jobs"]
-    assert since == [j for j in every if j["job_name"] in names] and 0 < len(since)
+    since, every = (sorted(map(tuple, questions.find_jobs_touching_table(spark, tiny, "src_", lookback_days=1000, ran_since=x).collect())) for x in (True, False))
+    assert since == [j for j in every if j[0] in names] and since
 
 
 def test_small_and_large_graphs_are_walked_alike(spark, tiny):
