@@ -159,8 +159,7 @@ def _name(tool: str, row: dict) -> str:
 
 
 # The keys of a tool's result.
-def _result(tool: str, arguments: dict, rows: list[dict], n: int) -> dict:
-    job = rows[0]["job_name"] if rows else None
+def _result(tool: str, arguments: dict, rows: list[dict], n: int, job: str | None) -> dict:
     nodes = [{"id": r["node_id"], "depth": r["depth"]} for r in rows] if tool in (BLAST, CAUSES) else []
     if tool == BLAST:
         return {"root_job": job, "root_table": arguments.get("table_name"), "impacted_nodes": nodes, "total": n}
@@ -181,8 +180,10 @@ def answer(spark: SparkSession, d: str, question: str) -> dict:
     rows = [r.asDict() for r in table.orderBy(*map(F.expr, ORDER[tool].split(", "))).limit(LISTED).collect()]
     n = len(rows) if len(rows) < LISTED else table.count()
     names = ", ".join(_name(tool, r) for r in rows[:NAMED]) + (" ..." if n > NAMED else "")
-    of = arguments.get("job_name") or arguments.get("table_name")
-    return {"answer": SAID[tool][bool(rows)].format(n=n, of=of, names=names), "tool_calls": [{"name": tool, "input": arguments, "result": _result(tool, arguments, rows, n)}]}
+    named = _job(spark, d, arguments["job_name"]).first() if tool in (BLAST, CAUSES) else None
+    job = named["job_name"] if named else None
+    of = job or arguments.get("job_name") or arguments["table_name"]
+    return {"answer": SAID[tool][bool(rows)].format(n=n, of=of, names=names), "tool_calls": [{"name": tool, "input": arguments, "result": _result(tool, arguments, rows, n, job)}]}
 
 
 ASKED = {
