@@ -35,20 +35,19 @@ def picks_sql(text: str) -> str:
     one from the other. Long texts are worked on in stretches, so only what is picked is held for a whole text.
     """
     grams = f"greatest(length(e) div 4 - {GRAM - 1}, 1)"
-    body, reach = "", 1
-    steps = []
+    steps, reach = [], 1
     while reach < WINDOW:
         step = min(reach, WINDOW - reach)
         steps.append(step)
         reach += step
     last = f"m{len(steps)}"
-    body = (
-        f"transform(filter(sequence(0, least({STRETCH}, n - s * {STRETCH}) - 1), j -> j = 0 OR get({last}, j) <> get({last}, j - 1)), "
-        f"j -> named_struct('a', s * {STRETCH} + j, 'pos', s * {STRETCH} + 4095 - CAST(get({last}, j) & 4095L AS INT), 'hash', shiftright(get({last}, j), 12)))"
-    )
+    place = f"s * {STRETCH} + 4095 - CAST({{}} & 4095L AS INT)"
+    # Numbers tell their places, so equal ones are one gram. A smaller one came in on the right, a larger one was left over.
+    first = f"IF(j = 0, s * {STRETCH}, IF(x < get(d, j - 1), {place.format('x')} - {WINDOW - 1}, {place.format('get(d, j - 1)')} + 1))"
+    body = _let("d", f"array_distinct(slice({last}, 1, least({STRETCH}, n - s * {STRETCH})))", f"transform(d, (x, j) -> named_struct('a', {first}, 'pos', {place.format('x')}, 'hash', shiftright(x, 12)))")
     for i in range(len(steps), 0, -1):
         body = _let(f"m{i}", f"transform(m{i - 1}, (x, j) -> least(x, get(m{i - 1}, j + {steps[i - 1]})))", body)
-    hashed = f"transform(sequence(s * {STRETCH}, least({grams}, s * {STRETCH} + {STRETCH + WINDOW - 1}) - 1), i -> (xxhash64(substring(e, 4 * i + 1, {4 * GRAM})) & -4096L) | (4095 - (i - s * {STRETCH})))"
+    hashed = f"transform(sequence(4 * s * {STRETCH} + 1, 4 * least({grams}, s * {STRETCH} + {STRETCH + WINDOW - 1}) - 3, 4), (i, j) -> (xxhash64(substring(e, i, {4 * GRAM})) & -4096L) | (4095 - j))"
     each = f"flatten(transform(sequence(0, (n - 1) div {STRETCH}), s -> {_let('m0', hashed, body)}))"
     none = "CAST(array() AS ARRAY<STRUCT<a: INT, pos: INT, hash: BIGINT>>)"
     whole = _let("e", f"encode({text}, 'UTF-32')", _let("n", f"CAST({_windows('(length(e) div 4)')} AS INT)", f"IF(n = 0, {none}, {each})"))
