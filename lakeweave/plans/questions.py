@@ -187,9 +187,9 @@ def answer(spark: SparkSession, d: str, question: str) -> dict:
 
 
 ASKED = {
-    "ask_impact": "What happens if the report_algeria job fails?",
+    "ask_impact": "What happens if the nation_1 job fails?",
     "ask_causes": "why did the nation_1 job break",
-    "ask_touching": "sql jobs that touched the src_3 table this week",
+    "ask_touching": "sql jobs that touched the src_4 table this week",
     "ask_health": "What is the health of the nation_2 job?",
 }
 
@@ -205,9 +205,9 @@ UNION SELECT r.root, e.{b}, depth + 1 FROM r JOIN e ON e.{a} = r.node_id WHERE d
 
 QUERIES = {name: (lambda spark, d, question=question: ask(spark, d, question)) for name, question in ASKED.items()}
 SQL = {
-    "ask_impact": _walk_sql("report_algeria", "src", "dst"),
+    "ask_impact": _walk_sql("nation_1", "src", "dst"),
     "ask_causes": _walk_sql("nation_1", "dst", "src"),
-    "ask_touching": f"""{catalogue._WITH} SELECT j.name AS job_name, t.name AS task_name, exec_type, bool_or(said) AS declared FROM (SELECT task_id, TRUE AS said FROM dep WHERE depends_on_table ILIKE '%src_3%' UNION ALL SELECT task_id, FALSE FROM task WHERE source_code ILIKE '%src_3%')
+    "ask_touching": f"""{catalogue._WITH} SELECT j.name AS job_name, t.name AS task_name, exec_type, bool_or(said) AS declared FROM (SELECT task_id, TRUE AS said FROM dep WHERE depends_on_table ILIKE '%src_4%' UNION ALL SELECT task_id, FALSE FROM task WHERE source_code ILIKE '%src_4%')
 JOIN task t USING (task_id) JOIN job j ON j.job_id = t.job_id WHERE exec_type = 'SQL' GROUP BY task_id, j.name, t.name, exec_type""",
     "ask_health": f"""{catalogue._WITH}, own AS ({_job_sql("nation_2")}), h AS (SELECT *, row_number() OVER (ORDER BY started_at DESC, audit_id) AS rn FROM run WHERE job_id = (SELECT job_id FROM own)), k AS (SELECT * FROM h WHERE rn <= {catalogue.HEALTH_RUNS})
 SELECT own.name AS job_name, (SELECT count(*) FROM k) AS runs_considered, (SELECT CAST(count(*) FILTER (WHERE status = 'SUCCESS') AS DOUBLE) / count(*) FROM k) AS success_rate, (SELECT CAST(sum(epoch_us(ended_at) - epoch_us(started_at)) AS DOUBLE) / count(ended_at) / 1000000 FROM k) AS avg_duration_seconds,
