@@ -171,7 +171,8 @@ class Labeller:
 
     weights: list[np.ndarray]
 
-    def _walk(self, x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, order: range) -> tuple[np.ndarray, list]:
+    def _walk(self, x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, order: range, tape: bool) -> tuple[np.ndarray, list]:
+        """States of one direction; with `tape` also what back-propagation needs of each step."""
         pages, steps, k = len(x), x.shape[1], HIDDEN_UNITS
         h = c = np.zeros((pages, k), np.float32)
         inputs = x @ w + b
@@ -182,22 +183,23 @@ class Labeller:
             m = mask[:, t, None]
             c_new = m * (f * c + i * g) + (1 - m) * c
             th = np.tanh(c_new)
-            kept[t] = (h, c, i, f, o, g, th, m)
+            if tape:
+                kept[t] = (h, c, i, f, o, g, th, m)
             h, c = m * (o * th) + (1 - m) * h, c_new
             out[:, t] = h
         return out, kept
 
-    def run(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, tuple]:
+    def run(self, x: np.ndarray, mask: np.ndarray, tape: bool = False) -> tuple[np.ndarray, tuple]:
         wf, uf, bf, wb, ub, bb, v, a = self.weights
         steps = x.shape[1]
-        forward, kept_f = self._walk(x, mask, wf, uf, bf, range(steps))
-        backward, kept_b = self._walk(x, mask, wb, ub, bb, range(steps - 1, -1, -1))
+        forward, kept_f = self._walk(x, mask, wf, uf, bf, range(steps), tape)
+        backward, kept_b = self._walk(x, mask, wb, ub, bb, range(steps - 1, -1, -1), tape)
         both = np.concatenate([forward, backward, x], axis=2)
         return _sigmoid(both @ v + a), (both, kept_f, kept_b)
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         """Of the mean cross-entropy over blocks, by back-propagation through time."""
-        p, (both, kept_f, kept_b) = self.run(x, mask)
+        p, (both, kept_f, kept_b) = self.run(x, mask, True)
         k = HIDDEN_UNITS
         d = (p - y) * mask / mask.sum()
         grads = []
