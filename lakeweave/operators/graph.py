@@ -77,6 +77,24 @@ def reach(links: DataFrame, roots: list[str] | DataFrame, max_depth: int, small:
     return met.where("depth > 0").withColumn("is_dataset", F.col("node_id").startswith("dataset:"))
 
 
+def depths(links: DataFrame, roots: list[str], max_depth: int) -> DataFrame:
+    """(node_id, depth): every depth up to max_depth at which a way from a root meets a node, once each; also on cycles.
+
+    Ways are not told apart: a level is the distinct nodes after those of the level before, so it has a row a node at most,
+    however many ways lead there, and is written before the next one.
+    """
+    spark = links.sparkSession
+    level = spark.range(1).select(F.explode(F.array(*[F.lit(r) for r in sorted(set(roots))])).alias("node_id"))
+    out = None
+    for depth in range(1, max_depth + 1):
+        level = cut(level.join(links, level["node_id"] == links["src"]).select(F.col("dst").alias("node_id")).distinct())
+        own = level.select("node_id", F.lit(depth).alias("depth"))
+        out = own if out is None else out.unionByName(own)
+        if level.isEmpty():
+            break
+    return out
+
+
 def blast_radius(links: DataFrame, root: str, max_depth: int = 50, small: int = SMALL) -> DataFrame:
     """(node_id, depth, is_dataset) of all that depends on root, by depth and id."""
     return reach(links, [root], max_depth, small).drop("root").orderBy("depth", "node_id")

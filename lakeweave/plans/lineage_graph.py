@@ -65,11 +65,11 @@ def downstream(links: DataFrame, root: str, max_depth: int) -> DataFrame:
 
 
 def graph_downstream_paths(spark: SparkSession, d: str) -> DataFrame:
-    return downstream(_edges(spark, d), ROOT, DEPTH)
+    return graph.depths(_edges(spark, d), [ROOT], DEPTH)
 
 
 def graph_upstream_paths(spark: SparkSession, d: str) -> DataFrame:
-    return downstream(graph.reversed_links(_edges(spark, d).where("NOT startswith(src, 'dataset:')")), TASK, DEPTH)
+    return graph.depths(graph.reversed_links(_edges(spark, d).where("NOT startswith(src, 'dataset:')")), [TASK], DEPTH)
 
 
 _EDGES = """WITH RECURSIVE o AS (SELECT o_orderkey, c_mktsegment, lag(o_orderkey) OVER w AS prev, lag(o_orderkey, 2) OVER w AS prev2 FROM orders JOIN customer ON o_custkey = c_custkey WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),

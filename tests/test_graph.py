@@ -47,3 +47,9 @@ def test_fan_out_and_several_roots(spark):
     wide = links(spark, [(f"t{i}", "hub", None) for i in range(20)])
     assert set(depths(graph.blast_radius(wide, "hub")).values()) == {1}
     assert depths(graph.impact_of_many(links(spark, SAMPLE), ["dataset:raw.orders", "transform"])) == {"ingest": 1, "transform": 2, "report_a": 1, "report_b": 1}
+
+
+def test_depths_are_given_once_for_all_ways(spark):
+    rows = [(f"{a}{i}", f"{b}{i + 1}") for i in range(12) for a in "xy" for b in "xy"]  # 2 to the 12th ways
+    found = graph.depths(spark.createDataFrame(rows + [("x12", "x0")], "src string, dst string"), ["x0"], 14).collect()
+    assert sorted((r.depth, r.node_id) for r in found) == sorted([(i, f"{a}{i}") for i in range(1, 13) for a in "xy"] + [(13, "x0"), (14, "x1"), (14, "y1")])
