@@ -164,5 +164,12 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
 
 def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that near-copy removal keeps, see minhash.keep: 64 bits cannot tell a similarity of 0.8."""
-    return minhash.keep(docs, key, text)
+    """The rows of docs that near-copy removal keeps, see minhash.keep.
+
+    Rows whose SimHash fingerprints a chain of steps of 3 or fewer bits joins are one group (near_groups, all rows), each text under the
+    number that minhash.keep knows it by. These groups are joined further by pairs with a Jaccard similarity of 0.8, which 64 bits
+    cannot tell.
+    """
+    near = near_groups(docs.select(minhash.node_of(docs[text]).alias("node"), docs[text].alias("text")), "node", "text")
+    known = cut(near.where("node <> component").select(F.col("component").alias("u"), F.col("node").alias("v")).distinct())
+    return minhash.keep(docs, key, text, known)
