@@ -59,3 +59,13 @@ def test_text_search_against_plain_search(spark):
     got = textsearch.search(df, textsearch.index(df, "k", "t"), spark.createDataFrame([(n,) for n in needles], "needle string"), "k", "t").collect()
     want = {(n, k) for n in needles if n for k, t in texts if t and n.lower() in t.lower()}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_text_search_meets_equal_texts_and_needles_of_one_form_once(spark):
+    rows = [(i, f"insert into mart.t{1000 + i % 300}") for i in range(600)] + [(900, "Ünï😀cødé mart.t1001"), (901, "mart.t1001 mart.t1001")]
+    df = spark.createDataFrame(rows, "k long, t string")
+    needles = [f"Mart.T{1000 + i}" for i in range(300)] + ["😀CØ", "cødé m", "into"]
+    postings = textsearch.index(df, "k", "t")
+    assert postings.select("id").distinct().count() == 302
+    got = textsearch.search(df, postings, spark.createDataFrame([(n,) for n in needles], "needle string"), "k", "t").collect()
+    assert sorted((r.needle, r.id) for r in got) == sorted((n, k) for n in needles for k, t in rows if n.lower() in t.lower())
