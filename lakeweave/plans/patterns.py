@@ -108,9 +108,8 @@ def gap_fill(spark: SparkSession, d: str, dom: Domain) -> DataFrame:
 
 
 def rate_normalization(spark: SparkSession, d: str, dom: Domain) -> DataFrame:
-    fact = dom.fact(spark, d)
-    rates = fact.select("category").distinct().withColumn("rate", F.expr(f"CAST({RATES} AS decimal(4,2))"))
-    return fact.join(rates, "category").selectExpr("id", "actor", "ts", "category", "CAST(amount AS DOUBLE) AS amount", "CAST(amount * rate AS DOUBLE) AS normalized")
+    fact = dom.fact(spark, d).withColumn("rate", F.expr(f"CAST({RATES} AS decimal(4,2))"))
+    return fact.selectExpr("id", "actor", "ts", "category", "CAST(amount AS DOUBLE) AS amount", "CAST(amount * rate AS DOUBLE) AS normalized")
 
 
 def sessionize(spark: SparkSession, d: str, dom: Domain) -> DataFrame:
