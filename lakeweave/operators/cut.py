@@ -23,3 +23,22 @@ def cut(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """As cut, but later joins know by which columns df's last shuffle dealt its rows, and do not shuffle them again.
+
+    Spark forgets this of plans that it may change while they run, so df is planned without that.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return cut(df.select("*"))
+    finally:
+        conf.set(name, before)
+
+
+def width(spark: SparkSession) -> int:
+    """Partitions that a shuffle deals its rows into."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

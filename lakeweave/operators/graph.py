@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeweave.operators import structure
 from lakeweave.operators.cut import cut as cut
 
 #: Edges (of two names each) of a graph that is walked in the driver, at most, and roots walked there one by one.
@@ -130,18 +131,17 @@ def _peeled_small(found: pa.Table) -> bool:
 
 
 def has_cycle(links: DataFrame, small: int = SMALL) -> bool:
-    """True if edges remain after those that nothing leads to, or that lead to nothing, were peeled off again and again.
+    """True if edges remain after those that nothing leads to were peeled off again and again.
 
     A graph of at most `small` edges, by a count of all, is peeled in the driver.
     """
-    left = cut(links.select("src", "dst").distinct())
-    n = left.count()
-    if n <= small:
-        return _peeled_small(left.toArrow())
-    while n:
-        inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        left = cut(inner.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        before, n = n, left.count()
-        if n == before:
-            return True
-    return False
+    return have_cycles(links.select("src", "dst", F.lit(1).alias("mask")), 1, small)[0]
+
+
+def have_cycles(links: DataFrame, graphs: int, small: int = SMALL) -> list[bool]:
+    """links (src, dst, mask; bit i: in graph i) -> for each of so many graphs whether it has a cycle; all are peeled together."""
+    links = cut(links.where("src IS NOT NULL AND dst IS NOT NULL").groupBy("src", "dst").agg(F.bit_or("mask").alias("mask")))
+    if links.count() <= small:
+        return [_peeled_small(links.where(F.col("mask").bitwiseAND(1 << i) != 0).select("src", "dst").toArrow()) for i in range(graphs)]
+    left = structure.peel(links, graphs)[2]
+    return [not left.where(f"need_{i} > 0").isEmpty() for i in range(graphs)]

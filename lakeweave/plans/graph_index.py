@@ -14,7 +14,7 @@ ROOTS = [lg.ROOT, "dataset:seg.MACHINERY", lg.TASK]
 
 def _reached(spark: SparkSession, d: str, roots: list[str], upstream: bool = False) -> DataFrame:
     named = spark.createDataFrame([(r,) for r in roots], "root string")
-    found = reachability.index(lg._edges(spark, d), lg.DEPTH).reach(named, upstream)
+    found = reachability.index(lg.graph_edges(spark, d), lg.DEPTH).reach(named, upstream)
     return found.groupBy("node_id", "is_dataset").agg(F.min("depth").alias("depth")).select("node_id", "depth", "is_dataset")
 
 
@@ -33,7 +33,7 @@ def graph_many_roots_index(spark: SparkSession, d: str) -> DataFrame:
 def graph_distances(spark: SparkSession, d: str) -> DataFrame:
     """How many steps the order of each customer's latest day is behind the first one, within ten: all pairs in one join."""
     o = table(spark, d, "orders").groupBy("o_custkey").agg(*[f("o_orderkey", F.struct("o_orderdate", "o_orderkey")).cast("string").alias(n) for f, n in ((F.min_by, "src"), (F.max_by, "dst"))])
-    return reachability.index(lg._edges(spark, d), lg.DEPTH).distances(o)
+    return reachability.index(lg.graph_edges(spark, d), lg.DEPTH).distances(o)
 
 
 def graph_blast_radius_joins(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +45,7 @@ def graph_root_causes_joins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_has_cycle_joins(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(1).select(F.explode(F.create_map(*[F.lit(x) for x in ("as it is", graph.has_cycle(lg._edges(spark, d), small=0), "bent back", graph.has_cycle(lg._bent(spark, d), small=0))])).alias("graph", "has_cycle"))
+    return lg.has_cycles(spark, d, small=0)
 
 
 def graph_components(spark: SparkSession, d: str) -> DataFrame:
@@ -55,9 +55,8 @@ def graph_components(spark: SparkSession, d: str) -> DataFrame:
 
 def graph_levels(spark: SparkSession, d: str) -> DataFrame:
     """Each node's layer: the longest way to it. In the graph that was bent back, nodes on or behind cycles have none."""
-    whole = structure.levels(lg._edges(spark, d)).withColumnRenamed("level", "layer")
-    bent = structure.levels(lg._bent(spark, d)).withColumnRenamed("level", "bent_layer")
-    return whole.join(bent, "node").select(F.col("node").alias("node_id"), "layer", "bent_layer")
+    found = structure.levels_of(lg._both(spark, d), ["layer", "bent_layer"])
+    return found.where("own = 3").select(F.col("node").alias("node_id"), "layer", "bent_layer")
 
 
 QUERIES = {f.__name__: f for f in (graph_blast_radius_index, graph_root_causes_index, graph_many_roots_index, graph_distances, graph_blast_radius_joins, graph_root_causes_joins, graph_has_cycle_joins, graph_components, graph_levels)}

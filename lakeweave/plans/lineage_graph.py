@@ -16,8 +16,8 @@ def dependencies(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     o = o.withColumns({"prev": F.lag("o_orderkey").over(by), "prev2": F.lag("o_orderkey", 2).over(by)})
     o = o.join(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
-    one = o.selectExpr("CAST(o_orderkey AS STRING) AS task_id", "CAST(prev AS STRING) AS depends_on_task_id", "IF(prev IS NULL, concat('seg.', c_mktsegment), NULL) AS depends_on_table")
-    return one.unionByName(o.where("o_orderkey % 7 = 0 AND prev2 IS NOT NULL").selectExpr("CAST(o_orderkey AS STRING) AS task_id", "CAST(prev2 AS STRING) AS depends_on_task_id", "CAST(NULL AS STRING) AS depends_on_table"))
+    o = o.withColumn("other", F.expr("explode(IF(o_orderkey % 7 = 0 AND prev2 IS NOT NULL, array(prev, prev2), array(prev)))"))
+    return o.selectExpr("CAST(o_orderkey AS STRING) AS task_id", "CAST(other AS STRING) AS depends_on_task_id", "IF(other IS NULL, concat('seg.', c_mktsegment), NULL) AS depends_on_table")
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
@@ -44,15 +44,30 @@ def graph_layers(spark: SparkSession, d: str) -> DataFrame:
     return graph.layers(graph.reach(_edges(spark, d), [ROOT], DEPTH))
 
 
-def _bent(spark: SparkSession, d: str) -> DataFrame:
-    """The edges, and from the last order of every hundredth customer one back to the first: cycles."""
+def _back(spark: SparkSession, d: str) -> DataFrame:
+    """Edges from the last order of every hundredth customer back to the first: cycles."""
     o = table(spark, d, "orders").where("o_custkey % 100 = 1").groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("first"), F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("last"))
-    return _edges(spark, d).unionByName(o.where("first <> last").select(F.col("last").cast("string").alias("src"), F.col("first").cast("string").alias("dst")))
+    return o.where("first <> last").select(F.col("last").cast("string").alias("src"), F.col("first").cast("string").alias("dst"))
+
+
+def _bent(spark: SparkSession, d: str) -> DataFrame:
+    """The edges, and those back."""
+    return graph_edges(spark, d).unionByName(_back(spark, d))
+
+
+def _both(spark: SparkSession, d: str) -> DataFrame:
+    """(src, dst, mask) of two graphs: bit 0 the edges, bit 1 with those back."""
+    return graph_edges(spark, d).withColumn("mask", F.lit(3)).unionByName(_back(spark, d).withColumn("mask", F.lit(2)))
+
+
+def has_cycles(spark: SparkSession, d: str, small: int = graph.SMALL) -> DataFrame:
+    whole, bent = graph.have_cycles(_both(spark, d), 2, small)
+    return spark.range(1).select(F.explode(F.create_map(F.lit("as it is"), F.lit(whole), F.lit("bent back"), F.lit(bent))).alias("graph", "has_cycle"))
 
 
 def graph_has_cycle(spark: SparkSession, d: str) -> DataFrame:
     """Whether the graph, and one that was bent back on purpose, have a cycle."""
-    return spark.range(1).select(F.explode(F.create_map(*[F.lit(x) for x in ("as it is", graph.has_cycle(_edges(spark, d)), "bent back", graph.has_cycle(_bent(spark, d)))])).alias("graph", "has_cycle"))
+    return has_cycles(spark, d)
 
 
 def downstream(links: DataFrame, root: str, max_depth: int) -> DataFrame:

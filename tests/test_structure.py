@@ -3,7 +3,8 @@ from collections import deque
 
 import pytest
 
-from lakeweave.operators import reachability, structure
+from lakeweave.operators import graph, reachability, structure
+from lakeweave.operators.cut import dealt
 
 
 def walked(arcs, root):
@@ -67,3 +68,20 @@ def test_empty_graph(spark):
     none = spark.createDataFrame([], "src string, dst string")
     assert structure.strong_components(none).collect() == [] and structure.levels(none).collect() == []
     assert reachability.index(none).reach(spark.createDataFrame([("a",)], "root string")).collect() == []
+
+
+def test_dealt_rows_are_not_shuffled_again(spark, capsys):
+    a = dealt(spark.range(100).selectExpr("id % 7 AS k", "id").repartition(8, "k"))
+    b = dealt(a.groupBy("k").count())
+    a.join(b.hint("shuffle_hash"), "k").explain()
+    assert "Exchange" not in capsys.readouterr().out
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_two_graphs_are_peeled_together(spark):
+    chain = [(f"n{i:02d}", f"n{i + 1:02d}", 3) for i in range(18)] + [("n05", "n09", 3), ("n05", "n09", 1), (None, "n01", 3)]
+    links = spark.createDataFrame(chain + [("n09", "n05", 2), ("x", "n17", 2)], "src string, dst string, mask int")
+    found = {r.node: (r.own, r.a, r.b) for r in structure.levels_of(links, ["a", "b"]).collect()}
+    whole = {f"n{i:02d}": i for i in range(19)}
+    assert found == {n: (3, i, i if i < 5 else None) for n, i in whole.items()} | {"x": (2, None, 0)}
+    assert graph.have_cycles(links, 2, small=0) == graph.have_cycles(links, 2) == [False, True]
