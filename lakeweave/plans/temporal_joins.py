@@ -44,12 +44,16 @@ def nearest_shipment_of_nation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def band_open_orders(spark: SparkSession, d: str) -> DataFrame:
-    """For each day on which something is shipped, the orders that are placed by then and not yet shipped whole."""
+    """For each day on which something is shipped, the orders that are placed by then and not yet shipped whole.
+
+    Orders with the same two ends are added up before they meet the days, so there are pairs of a day and two ends, however many orders.
+    """
     lines = table(spark, d, "lineitem")
     ends = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("ended"))
     spans = table(spark, d, "orders").select("o_orderkey", "o_orderdate", F.round("o_totalprice").cast("long").alias("price")).join(ends, "o_orderkey")
+    spans = spans.groupBy("o_orderdate", "ended").agg(F.count("*").alias("n"), F.sum("price").alias("price"))
     days = lines.select(F.col("l_shipdate").alias("day")).distinct()
-    return temporal.band_join(days, spans, "day", "o_orderdate", "ended").groupBy("day").agg(F.count("*").alias("n_open"), F.sum("price").alias("price"))
+    return temporal.band_join(days, spans, "day", "o_orderdate", "ended").groupBy("day").agg(F.sum("n").alias("n_open"), F.sum("price").alias("price"))
 
 
 def band_purchases_after_click(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from lakeweave.operators import bitmaps, temporal
+from lakeweave.plans import temporal_joins
 
 
 def brute(left, right, side):
@@ -69,3 +70,16 @@ def test_bitmaps_of_large_numbers(spark):
     maps = bitmaps.daily(spark.createDataFrame(rows, "k string, n long"), ["k"], "n")
     assert {r.k: r.n for r in bitmaps.counted(maps, ["k"]).collect()} == {"x": 3, "y": 1}
     assert bitmaps.counted(bitmaps.merged(maps, []), []).first().n == 4
+
+
+def test_orders_with_the_same_ends_meet_the_days_once(spark, tmp_path, monkeypatch):
+    spark.range(3000).selectExpr("id AS o_orderkey", "timestamp_seconds(86400 * (id % 3)) AS o_orderdate", "id % 5 + 0.2D AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(3000).selectExpr("id AS l_orderkey", "timestamp_seconds(86400 * (id % 3 + id % 2 + 1)) AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    met = []
+    joined = temporal.band_join
+    monkeypatch.setattr(temporal, "band_join", lambda *args: met.append(joined(*args)) or met[-1])
+    got = {r.day.day: (r.n_open, r.price) for r in temporal_joins.band_open_orders(spark, str(tmp_path)).collect()}
+    rows = [(i % 3, i % 3 + i % 2 + 1, i % 5) for i in range(3000)]
+    open_on = {day: [p for low, high, p in rows if low <= day < high] for day in range(1, 5)}
+    assert sorted(got.values()) == sorted((len(ps), sum(ps)) for ps in open_on.values() if ps)
+    assert met[0].count() < 20
