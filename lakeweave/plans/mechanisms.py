@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.operators import allocation, textsearch
-from lakeweave.operators.cut import shared_folder
+from lakeweave.operators.cut import cut, shared_folder
 from lakeweave.operators.merge import latest
 from lakeweave.plans import catalogue
 from lakeweave.sources import metadata as M
@@ -22,13 +22,17 @@ NEW = 1_000_000_000
 
 def allocate_suppliers_and_parts(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers' balances go round: seven tenths to the parts they ship, by price, and from parts back to suppliers, by quantity."""
-    lines = table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("s"), F.concat(F.lit("p"), "l_partkey").alias("p"), F.round("l_extendedprice").cast("long").alias("price"), F.round("l_quantity").cast("long").alias("quantity"))
-    both = lines.select(F.col("s").alias("source"), F.col("p").alias("target"), F.col("price").alias("weight")).unionByName(lines.select(F.col("p").alias("source"), F.col("s").alias("target"), F.col("quantity").alias("weight")))
-    pairs = both.groupBy("source", "target").agg(F.sum("weight").alias("weight"))
-    totals = pairs.groupBy("source").agg((10 * F.sum("weight")).alias("total"))
-    shares = pairs.join(totals, "source").withColumn("weight", PASSED * F.col("weight"))
-    pools = table(spark, d, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.round(F.col("s_acctbal") * 100).cast("long").alias("amount"))
-    return allocation.allocate(pools, shares, LEAST, ROUNDS, part=1_000)
+    # Nodes are numbers until the end: twice a supplier's key, twice a part's key and 1.
+    lines = table(spark, d, "lineitem").select((F.col("l_suppkey") * 2).alias("s"), (F.col("l_partkey") * 2 + 1).alias("p"), F.round("l_extendedprice").cast("long").alias("price"), F.round("l_quantity").cast("long").alias("quantity"))
+    pairs = cut(lines.groupBy("s", "p").agg(F.sum("price").alias("price"), F.sum("quantity").alias("quantity")))
+    shares = None
+    for a, b, weight in (("s", "p", "price"), ("p", "s", "quantity")):
+        totals = pairs.groupBy(a).agg((10 * F.sum(weight)).alias("total"))
+        own = pairs.join(totals, a).select(F.col(a).alias("source"), F.col(b).alias("target"), (PASSED * F.col(weight)).alias("weight"), "total")
+        shares = own if shares is None else shares.unionByName(own)
+    pools = table(spark, d, "supplier").where("s_acctbal > 0").select((F.col("s_suppkey") * 2).alias("node"), F.round(F.col("s_acctbal") * 100).cast("long").alias("amount"))
+    found = allocation.allocate(pools, shares, LEAST, ROUNDS, part=1_000)
+    return found.select("round_no", F.expr("concat(IF(node & 1 = 0, 's', 'p'), shiftright(node, 1))").alias("node"), "amount")
 
 
 def sink_merge_orders(spark: SparkSession, d: str) -> DataFrame:

@@ -69,3 +69,19 @@ def test_text_search_meets_equal_texts_and_needles_of_one_form_once(spark):
     assert postings.select("id").distinct().count() == 302
     got = textsearch.search(df, postings, spark.createDataFrame([(n,) for n in needles], "needle string"), "k", "t").collect()
     assert sorted((r.needle, r.id) for r in got) == sorted((n, k) for n in needles for k, t in rows if n.lower() in t.lower())
+
+
+def test_allocation_does_not_shuffle_the_shares_again(spark, capsys):
+    shares = spark.range(50_000).selectExpr("id % 500 AS source", "id AS target", "1L AS weight", "200L AS total")
+    amounts = spark.range(500).selectExpr("id AS node", "1000L AS amount")
+    written, real = [], allocation.cut
+    allocation.cut = lambda df: written.append(df) or real(df)
+    try:
+        assert allocation.allocate(amounts, shares, 0, 1).count() == 50_000
+    finally:
+        allocation.cut = real
+    written[-1].explain()
+    plan = capsys.readouterr().out
+    join = plan.splitlines()
+    at = next(i for i, line in enumerate(join) if "ShuffledHashJoin" in line)
+    assert not any("Exchange hashpartitioning(source" in line for line in join[at:])
