@@ -7,10 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.operators.cut import cut
+from lakeweave.operators.cut import cut, dealt, width
 from lakeweave.operators.numbering import numbered
 
 IN, OUT = "in", "out"
+#: Levels of labels that are joined anew each time before they are written together.
+STACKED = 3
 
 
 @dataclass(frozen=True)
@@ -49,9 +51,12 @@ def index(links: DataFrame, max_depth: int = 50) -> Index:
 
     Nodes are numbered by their number of links, the most linked first. A node's labels are those hubs of a smaller number
     that are the smallest on all shortest ways between the two. Labels of distance d come from the neighbours' labels of
-    distance d - 1, are dropped if two shorter labels already join the two as shortly, and are written before the next level:
-    each level is four joins for all nodes at once, and levels end with the longest shortest way. Links with a null end
-    are dropped; loops and repeated links add nothing; cycles are harmless.
+    distance d - 1 and are dropped if two shorter labels already join the two as shortly, all nodes at once; levels end with the
+    longest shortest way. Links with a null end are dropped; loops and repeated links add nothing; cycles are harmless.
+
+    A node's labels of both ways are one row of arrays of codes (twice the hub's number, plus 1 for out) and distances. Arcs and
+    labels are dealt out once by node; only what is sent along arcs is shuffled, and labels with a hub of a smaller number, which
+    alone can make a new one needless, are looked up at the new one's hub.
     """
     if not 1 <= max_depth <= 100:
         raise ValueError("max_depth is from 1 to 100")
@@ -60,17 +65,33 @@ def index(links: DataFrame, max_depth: int = 50) -> Index:
     degrees = ends.groupBy("node_id").agg(F.count("*").alias("n"))
     nodes = cut(numbered(degrees, [F.col("n").desc(), F.xxhash64("node_id").asc(), F.col("node_id").asc()]).select("node_id", "id"))
     arcs = links.where("src <> dst").join(nodes.select(F.col("node_id").alias("src"), F.col("id").alias("u")), "src").join(nodes.select(F.col("node_id").alias("dst"), F.col("id").alias("v")), "dst")
-    arcs = cut(arcs.select(F.lit(IN).alias("way"), F.col("u").alias("from"), F.col("v").alias("to")).unionByName(arcs.select(F.lit(OUT).alias("way"), F.col("v").alias("from"), F.col("u").alias("to"))))
-    fresh = nodes.select(F.explode(F.array(F.lit(IN), F.lit(OUT))).alias("way"), "id", F.col("id").alias("hub"), F.lit(0).alias("distance"))
-    labels = fresh
+    arcs = arcs.select(F.explode(F.expr("array(struct(u AS from, v AS to, 0 AS out), struct(v AS from, u AS to, 1 AS out))")).alias("a")).select("a.*")
+    parts = width(links.sparkSession)
+    arcs = dealt(arcs.repartition(parts, "from"))
+    fresh = dealt(nodes.select("id", F.expr("array(2 * id, 2 * id + 1)").alias("new")).repartition(parts, "id"))
+    labels = dealt(fresh.select("id", F.expr("CAST(array() AS ARRAY<BIGINT>)").alias("codes"), F.expr("CAST(array() AS ARRAY<INT>)").alias("at")))
     for depth in range(1, max_depth + 1):
-        ahead = fresh.join(arcs, (fresh["way"] == arcs["way"]) & (fresh["id"] == arcs["from"])).where("hub < to")
-        ahead = ahead.select(fresh["way"], F.col("to").alias("id"), "hub").distinct().join(labels, ["way", "id", "hub"], "left_anti")
-        mine = labels.select("way", "id", F.col("hub").alias("via"), F.col("distance").alias("x"))
-        theirs = labels.select(F.when(F.col("way") == IN, OUT).otherwise(IN).alias("way"), F.col("id").alias("hub"), F.col("hub").alias("via"), F.col("distance").alias("y"))
-        short = ahead.join(mine, ["way", "id"]).join(theirs, ["way", "hub", "via"]).where(F.col("x") + F.col("y") <= depth).select("way", "id", "hub")
-        fresh = cut(ahead.join(short, ["way", "id", "hub"], "left_anti").withColumn("distance", F.lit(depth)))
+        # Few rows a node meet its many arcs: they are held, the arcs stream by.
+        sent = fresh.hint("shuffle_hash").join(arcs, fresh["id"] == arcs["from"]).select(F.col("to").alias("id"), F.explode(F.expr("filter(new, c -> c % 2 = out AND c div 2 < to)")).alias("c"))
+        ahead = sent.repartition(parts, "id").groupBy("id").agg(F.collect_set("c").alias("new"))
+        ahead = dealt(labels.join(ahead.hint("shuffle_hash"), "id").withColumn("new", F.array_except("new", "codes")).where("size(new) > 0"))
+        if ahead.isEmpty():
+            break
+        doubted = ahead.select("id", "codes", "at", F.explode("new").alias("c")).select("id", "c", F.expr("filter(arrays_zip(codes, at), l -> l.codes % 2 = c % 2 AND l.codes < c)").alias("via")).where("size(via) > 0")
+        doubted = dealt(doubted.withColumn("hub", F.expr("c div 2")).repartition(parts, "hub"))
+        fresh = ahead.select("id", "new")
+        if not doubted.isEmpty():
+            theirs = labels.select(F.col("id").alias("hub"), F.expr("map_from_arrays(transform(codes, c -> c ^ 1), at)").alias("theirs"))
+            short = doubted.join(theirs, "hub").where(f"exists(via, l -> l.at + element_at(theirs, l.codes) <= {depth})")
+            short = short.repartition(parts, "id").groupBy("id").agg(F.collect_set("c").alias("short"))
+            fresh = fresh.join(short.hint("shuffle_hash"), "id", "left").select("id", F.expr("IF(short IS NULL, new, array_except(new, short))").alias("new"))
+        fresh = dealt(fresh.where("size(new) > 0"))
         if fresh.isEmpty():
             break
-        labels = labels.unionByName(fresh)
-    return Index(nodes, cut(labels), max_depth)
+        labels = labels.join(fresh.hint("shuffle_hash"), "id", "left").select("id", F.expr("IF(new IS NULL, codes, concat(codes, new))").alias("codes"), F.expr(f"IF(new IS NULL, at, concat(at, array_repeat({depth}, size(new))))").alias("at"))
+        if depth % STACKED == 0:
+            labels = dealt(labels)
+    labels = dealt(labels)
+    way = F.expr(f"IF(code % 2 = 0, '{IN}', '{OUT}')").alias("way")
+    own = labels.select("id", F.inline(F.arrays_zip(F.expr("concat(codes, array(2 * id, 2 * id + 1))").alias("code"), F.expr("concat(at, array(0, 0))").alias("distance"))).alias("code", "distance"))
+    return Index(nodes, own.select(way, "id", F.expr("code div 2").alias("hub"), "distance"), max_depth)
