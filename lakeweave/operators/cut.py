@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,13 +19,31 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Seconds from one call of `free` that does anything to the next.
+PAUSE = 2.0
+_freed = [0.0]
+
+
+def free(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files and checkpoints that nothing refers to any more.
+
+    It notices that only when the driver collects its garbage, which a job of many short steps may not bring about for minutes.
+    """
+    if time.monotonic() - _freed[0] >= PAUSE:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _freed[0] = time.monotonic()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Computes df once into the shared folder, so that later steps and lost executors read it from there.
 
     Spark deletes these files when the session has spark.cleaner.referenceTracking.cleanCheckpoints; else they stay.
     """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    free(df.sparkSession)
+    return done
 
 
 def dealt(df: DataFrame) -> DataFrame:
